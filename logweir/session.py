@@ -48,16 +48,17 @@ def join_on_hot_keys(
     spread: str,
     how: str = "inner",
     salts: int = 16,
-    rows: int = BROADCAST_ROWS,
+    small_known: bool | None = None,
 ) -> DataFrame:
     """Join a large side whose keys may be hot with a side that may be small.
 
     A checked-small side is broadcast: no shuffle of the large side. Beyond the
     bound the key is salted, the small side being copied once per salt, so one
     key that holds a third of the rows is still spread over ``salts`` tasks.
-    ``spread`` names a column of ``big`` that tells rows of one key apart.
+    ``spread`` names a column of ``big`` that tells rows of one key apart;
+    ``small_known`` passes on a check made before.
     """
-    if is_small(small, rows):
+    if is_small(small) if small_known is None else small_known:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
