@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -16,24 +18,43 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate files that all executors see.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    folder of our own is set only where neither the session nor the context
-    has one (tests, local runs).
+    It is the one the cluster names in ``spark.checkpoint.dir``, or the
+    checkpoint folder already set; a temporary one is made only where neither
+    exists (tests, local runs).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logweir-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return folder or tempfile.mkdtemp(prefix="logweir-")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than needed."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``rows`` rows and ``size`` bytes of text.
+
+    Reads no more rows than the bound.
+    """
+    text = F.octet_length(F.to_json(F.struct("*")))
+    found = (
+        df.limit(rows + 1)
+        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("size"))
+        .first()
+    )
+    return found.rows <= rows and found.size <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
