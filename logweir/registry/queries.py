@@ -298,10 +298,10 @@ def bucket_mean_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = reports.bucket_means(event_logs(spark, sf_dir), "anomaly_score")
     return reports.flag_buckets(means).select(
         _text("bucket"),
-        F.round("mean", 6).alias("mean"),
+        F.round("mean", 9).alias("mean"),
         "count",
         F.coalesce("past_buckets", F.lit(0)).alias("past_buckets"),
-        F.round("past_mean", 6).alias("past_mean"),
+        F.round("past_mean", 9).alias("past_mean"),
         "anomalous",
     )
 
@@ -327,7 +327,7 @@ def bucket_mean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     running.awaitTermination()
     return spark.read.parquet(f"{root}/means").select(
-        _text("bucket"), F.round("mean", 6).alias("mean"), "count"
+        _text("bucket"), F.round("mean", 9).alias("mean"), "count"
     )
 
 
