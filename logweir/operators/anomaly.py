@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.vectors import let, magnitude
-from logweir.operators.features import fit_tfidf, tfidf
+from logweir.operators.features import HELPER_COLUMNS, fit_tfidf, tfidf
 from logweir.session import join_on_hot_keys, settle, top_k_per_group
 
 # Least training rows, contamination, trees, sample, seed, components.
@@ -47,7 +47,7 @@ class Detector:
             return df.withColumn("anomaly_score", F.lit(0.0)).withColumn(
                 "anomaly_label", F.lit(0)
             )
-        added = ["_terms", "_tf", "_weighted", "tfidf", "_scaled", "_projected"]
+        added = [*HELPER_COLUMNS, "tfidf", "_scaled", "_projected"]
         scored = self.model.transform(df).withColumn(
             "anomaly_score", _residual(F.col("_scaled"), F.col("_projected"))
         )

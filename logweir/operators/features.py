@@ -9,6 +9,7 @@ from pyspark.ml.feature import (
     ElementwiseProduct,
     Normalizer,
     RegexTokenizer,
+    SQLTransformer,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 MAX_TERMS = 100
 TERM = r"[\p{L}\p{N}_]{2,}"
 
+HELPER_COLUMNS = ["_text", "_terms", "_tf", "_weighted"]
+
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
@@ -34,33 +37,41 @@ def vocabulary(df: DataFrame, text: str, size: int = MAX_TERMS) -> DataFrame:
     )
 
 
-def fit_tfidf(df: DataFrame, text: str, size: int = MAX_TERMS, output: str = "tfidf") -> PipelineModel:
+def fit_tfidf(
+    df: DataFrame, text: str, size: int = MAX_TERMS, output: str = "tfidf"
+) -> PipelineModel:
     """TF-IDF over the ``size`` most frequent terms, smooth idf plus one, unit length.
 
     Only the vocabulary and the document frequencies, ``size`` values each,
     come to the driver.
     """
     listed = [row.term for row in vocabulary(df, text, size).collect()]
+    filled = SQLTransformer(
+        statement=f"SELECT *, coalesce(`{text}`, '') AS _text FROM __THIS__"
+    )
     tokenizer = RegexTokenizer(
-        inputCol=text, outputCol="_terms", pattern=TERM, gaps=False, toLowercase=True
+        inputCol="_text", outputCol="_terms", pattern=TERM, gaps=False, toLowercase=True
     )
     counter = CountVectorizerModel.from_vocabulary(
         listed or [" "], inputCol="_terms", outputCol="_tf"
     )
-    counted = counter.transform(tokenizer.transform(df.select(F.coalesce(text, F.lit("")).alias(text))))
+    counted = counter.transform(tokenizer.transform(filled.transform(df.select(text))))
     idf = IDF(inputCol="_tf", outputCol="_").fit(counted)
     weight = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted"
     )
     unit = Normalizer(inputCol="_weighted", outputCol=output, p=2.0)
-    return PipelineModel([tokenizer, counter, weight, unit])
+    return PipelineModel([filled, tokenizer, counter, weight, unit])
 
 
 def tfidf(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with the TF-IDF vector; rows without a known term have a zero vector."""
-    text = model.stages[0].getInputCol()
-    filled = df.withColumn(text, F.coalesce(text, F.lit("")))
-    return model.transform(filled).drop("_terms", "_tf", "_weighted")
+    return model.transform(df).drop(*HELPER_COLUMNS)
+
+
+def terms_of(model: PipelineModel) -> list[str]:
+    """Vocabulary of a fitted model, in vector order."""
+    return next(s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel))
 
 
 def level_and_message(level: Column, message: Column) -> Column:

@@ -577,7 +577,7 @@ def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = features.fit_tfidf(docs, "text")
-    listed = model.stages[1].vocabulary
+    listed = features.terms_of(model)
     term = F.element_at(F.array(*[F.lit(t) for t in listed]), F.col("pos") + 1)
     return (
         features.tfidf(model, docs)
