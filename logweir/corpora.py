@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.session import spread
+
 _ORDER_LINE = """
 concat(
  date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'), ',',
@@ -44,23 +46,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name).select(*(columns or ["*"])))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key=value line per order: ``(log_id, file_name, line)``."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread_table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as log_id", "'orders.log' as file_name", f"{_ORDER_LINE} as line"
     )
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per event, in six shapes: ``(log_id, file_name, line)``."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread_table(spark, sf_dir, "events").selectExpr(
         "event_id as log_id", "'events.log' as file_name", f"{_EVENT_LINE} as line"
     )
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain messages of two families, with a value in each: ``(log_id, message)``."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread_table(spark, sf_dir, "events").selectExpr(
         "event_id as log_id",
         """case when event_id % 2 = 0
              then concat('user u', user_id, ' did action ', event_id % 97)

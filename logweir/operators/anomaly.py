@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.vectors import let, magnitude
-from logweir.operators.features import HELPER_COLUMNS, fit_tfidf, tfidf
+from logweir.operators.features import HELPER_COLUMNS, MAX_TERMS, fit_tfidf, terms_of, tfidf
 from logweir.session import join_on_hot_keys, settle, top_k_per_group
 
 # Least training rows, contamination, trees, sample, seed, components.
@@ -78,8 +78,7 @@ def _fit_subspace(vectors: DataFrame, column: str, components: int) -> list:
     scaler = StandardScaler(inputCol=column, outputCol="_scaled", withMean=True, withStd=True)
     scaling = scaler.fit(vectors)
     scaled = scaling.transform(vectors)
-    width = len(scaling.mean)
-    pca = PCA(k=min(components, width), inputCol="_scaled", outputCol="_projected")
+    pca = PCA(k=min(components, len(scaling.mean)), inputCol="_scaled", outputCol="_projected")
     return [scaling, pca.fit(scaled)]
 
 
@@ -111,8 +110,10 @@ def fit_detector(
     if good.limit(MIN_ROWS).count() < MIN_ROWS:
         return Detector(None, None)
     words = fit_tfidf(good, text)
-    vectors = tfidf(words, good)
-    stages = words.stages + _fit_subspace(vectors, "tfidf", components)
+    # A small vocabulary keeps the share of directions, or nothing would be left out.
+    width = len(terms_of(words))
+    directions = max(1, min(components, components * width // MAX_TERMS))
+    stages = words.stages + _fit_subspace(tfidf(words, good), "tfidf", directions)
     detector = Detector(PipelineModel(stages), 0.0)
     detector.threshold = contamination_cut(detector.score(good), contamination)
     return detector
@@ -341,7 +342,7 @@ def sequence_anomalies(
         "history", event, F.lit(False).alias("_unexpected")
     )
     full = test.where(F.size("history") == h)
-    judged = join_on_hot_keys(full, expected, ["history", event], spread=row_id, how="left")
+    judged = join_on_hot_keys(full, settle(expected), ["history", event], spread=row_id, how="left")
     return judged.withColumn(
         "anomalous", F.coalesce(F.col("_unexpected"), F.lit(True))
     ).drop("_unexpected")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.session import join_on_hot_keys
+from logweir.session import join_on_hot_keys, settle
 
 
 def lookup_or_compute(
@@ -26,7 +26,7 @@ def lookup_or_compute(
     """
     wanted = logs.where(F.col(key).isNotNull()).select(key).distinct()
     missing = wanted if stored is None else wanted.join(stored.select(key), key, "left_anti")
-    fresh = compute(missing).select(key, value)
+    fresh = settle(compute(missing).select(key, value))
     known = fresh
     if stored is not None:
         known = stored.select(key, value).join(wanted, key, "left_semi").unionByName(fresh)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.session import broadcast_if_small, join_on_hot_keys, settle, top_k_per_group
+from logweir.session import broadcast_if_small, join_on_hot_keys, settle, shuffle_parts, top_k_per_group
 
 # Wildcard, least share of equal tokens, first tokens per token count.
 WILDCARD = "<*>"
@@ -36,13 +36,12 @@ def distinct_messages(logs: DataFrame) -> DataFrame:
 
 def _with_leaf(messages: DataFrame) -> DataFrame:
     """Add ``n_tokens`` and ``head``; a head with a digit, or one too many, is the wildcard."""
-    trimmed = F.regexp_replace("message", r"(?U)^\s+|\s+$", "")
-    tokens = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, r"(?U)\s+")
-    )
-    first = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
-    rows = messages.withColumn("n_tokens", F.size(tokens)).withColumn(
-        "_first", F.when(first.rlike(r"(?U)\d"), WILDCARD).otherwise(first)
+    tokens = F.regexp_extract_all("message", F.lit(r"(?U)(\S+)"), 1)
+    first = F.coalesce(F.get("_tokens", F.lit(0)), F.lit(""))
+    rows = messages.withColumn("_tokens", tokens).select(
+        *messages.columns,
+        F.size("_tokens").alias("n_tokens"),
+        F.when(first.rlike(r"(?U)\d"), WILDCARD).otherwise(first).alias("_first"),
     )
     heads = (
         rows.where(F.col("_first") != WILDCARD)
@@ -65,13 +64,14 @@ def _cluster(group: pd.DataFrame) -> pd.DataFrame:
     known = np.empty((16, int(group["n_tokens"].iloc[0])), dtype=np.int64)
     count = 0
     owner = np.empty(len(group), dtype=np.int64)
+    wild_counts = bool(group["is_template"].iloc[0])
     for row, text in enumerate(group["text"]):
         tokens = np.array([code.setdefault(t, len(code)) for t in text.split()], dtype=np.int64)
         best = -1
         if count:
             constant = known[:count] != 0
             # two wildcards agree only between templates, never in a fresh message
-            same = (known[:count] == tokens) & (constant | group["is_template"].iloc[0])
+            same = (known[:count] == tokens) & (constant | wild_counts)
             share = same.sum(axis=1) / max(len(tokens), 1)
             wild = (~constant).sum(axis=1)
             best = int(np.lexsort((np.arange(count), -wild, -share))[0])
@@ -118,6 +118,8 @@ def _cluster_leaves(texts: DataFrame, shard_rows: int) -> tuple[DataFrame, bool]
             )
             .drop("shards")
         )
+    parts = shuffle_parts(texts.sparkSession)
+    sharded = sharded.repartition(parts, "n_tokens", "head", "shard")
     clustered = sharded.groupBy("n_tokens", "head", "shard").applyInPandas(
         _cluster,
         f"text string, template string, n_tokens int, head string, first_id {id_type}",
@@ -130,7 +132,9 @@ def mine_templates(messages: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFra
     leaves = _with_leaf(messages).select(
         F.col("message").alias("text"), "n_tokens", "head", "first_id"
     )
-    found, cut = _cluster_leaves(leaves.withColumn("is_template", F.lit(False)), shard_rows)
+    parts = shuffle_parts(messages.sparkSession)
+    leaves = settle(leaves.withColumn("is_template", F.lit(False)).repartition(parts, "text"))
+    found, cut = _cluster_leaves(leaves, shard_rows)
     mapping = found.select(F.col("text").alias("message"), "template")
     before = None
     while cut:

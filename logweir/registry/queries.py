@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.corpora import event_lines, event_messages, order_lines, table
+from logweir.corpora import event_lines, event_messages, order_lines, spread_table, table
 from logweir.functions.text import expand_abbreviations, replace_all
 from logweir.functions.timestamps import index_timestamp, index_timestamp_text
 from logweir.functions.vectors import embed, hash_embedding, is_zero
@@ -359,7 +359,9 @@ def phrase_any_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as log_id", "text as message")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text").selectExpr(
+        "doc_id as log_id", "text as message"
+    )
     tokens = spark.createDataFrame(WORD_TOKENS, "query_id long, token_no int, token string")
     return lexical_top_k(docs, tokens, 20).select(
         "query_id",
@@ -371,7 +373,7 @@ def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = spread_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", hash_embedding(F.col("text")).alias("v")
     )
     return (
@@ -575,7 +577,7 @@ def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tfidf_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text")
     model = features.fit_tfidf(docs, "text")
     listed = features.terms_of(model)
     term = F.element_at(F.array(*[F.lit(t) for t in listed]), F.col("pos") + 1)

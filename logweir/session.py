@@ -43,6 +43,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out an input that comes in fewer splits than there are cores.
+
+    A large input has many splits and is left as it is, without a shuffle.
+    Rows go by the hash of all columns, which needs no sort and is repeatable.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *[c for c, kind in df.dtypes if "map<" not in kind])
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    """Partitions for steps whose work is not told by their bytes, so AQE must not merge them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``rows`` rows and ``size`` bytes of text.
 

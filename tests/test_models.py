@@ -165,10 +165,10 @@ def test_subspace_detector_against_numpy(spark):
 
 def test_text_detector_saves_and_guards(spark, tmp_path):
     good = spark.createDataFrame(
-        [(f"user {i % 7} read page {i % 3}",) for i in range(60)], "message string"
+        [(f"user{i % 7} read page{i % 3}",) for i in range(60)], "message string"
     )
     detector = anomaly.fit_detector(good)
-    new = spark.createDataFrame([("user 1 read page 2",), ("page page page page",), (None,)], "message string")
+    new = spark.createDataFrame([("user1 read page2",), ("user1 user2 user3 user4",), (None,)], "message string")
     detector.save(spark, str(tmp_path / "m"))
     loaded = anomaly.Detector.load(spark, str(tmp_path / "m"))
     a = [r.anomaly_score for r in detector.score(new).collect()]
