@@ -9,6 +9,9 @@ from pyspark.sql.utils import AnalysisException
 
 from logweir.operators.parse import to_log_schema
 from logweir.schema import LOG_SCHEMA
+from logweir.session import join_on_hot_keys, settle, shuffle_parts
+
+ROWS_PER_FILE = 2_000_000
 
 _STORED = T.StructType([*LOG_SCHEMA.fields, T.StructField("log_date", T.DateType())])
 
@@ -40,14 +43,27 @@ def append_logs(records: DataFrame, path: str, now: Column | None = None) -> Non
         .withColumn("timestamp", stamp)
         .withColumn("log_date", F.to_date("timestamp"))
     )
+    files = F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files")
+    dates = settle(rows.groupBy("log_date").agg(files))
     known = read_logs(spark, path)
     if known is not None:
-        lo, hi = rows.agg(F.min("log_date"), F.max("log_date")).first()
+        lo, hi = dates.agg(F.min("log_date"), F.max("log_date")).first()
         if lo is None:
             return
         ids = known.where(F.col("log_date").between(F.lit(lo), F.lit(hi))).select("log_id")
         rows = rows.join(ids, "log_id", "left_anti")
-    rows.write.mode("append").partitionBy("log_date").parquet(path)
+    _by_date(rows, dates).write.mode("append").partitionBy("log_date").parquet(path)
+
+
+def _by_date(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    """One task per date, or several for a date with many rows; few files either way."""
+    part = F.pmod(F.xxhash64("log_id"), F.col("_files"))
+    placed = join_on_hot_keys(rows, dates, ["log_date"], spread="log_id")
+    return (
+        placed.withColumn("_part", part)
+        .repartition(shuffle_parts(rows.sparkSession), "log_date", "_part")
+        .drop("_files", "_part")
+    )
 
 
 def append_keyed(rows: DataFrame, path: str, key: str, new_keys_only: bool = True) -> None:
