@@ -22,7 +22,6 @@ from logweir.session import is_small, top_k_per_group
 CONTENT = sorted(
     set(LOG_SCHEMA.names) - {"log_id", "ts_defaulted", "attrs", "semantic_template", "log_vector"}
 )
-NEWEST = ["timestamp", "log_id"]
 
 
 def understand(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -216,7 +215,7 @@ def hybrid_union(
     """
     asked = understand(queries)
     hits = union_hits(lexical(logs, asked, k), vectors(logs, asked, k, model=model), k)
-    unique = dedupe_content(with_content(hits, logs), ["query_id"], _content(logs))
+    unique = dedupe_content(with_content(hits, logs), ["query_id"], content_json(logs))
     return renumber(unique, size or 2 * k)
 
 
@@ -232,7 +231,7 @@ def hybrid_top(
     )
     words = lexical(logs, asked, size, match_all=False)
     hits = renumber(union_hits(words, vectors(logs, asked, size, model=model), size), size)
-    unique = dedupe_content(with_content(hits, logs), ["query_id"], _content(logs))
+    unique = dedupe_content(with_content(hits, logs), ["query_id"], content_json(logs))
     return renumber(unique, size)
 
 
@@ -254,9 +253,5 @@ def lexical_else_vector(
     )
     near = vectors(logs, unanswered, k, text="search_query", model=model, ranged=True)
     hits = found.unionByName(near)
-    unique = dedupe_content(with_content(hits, logs), ["query_id"], _content(logs))
+    unique = dedupe_content(with_content(hits, logs), ["query_id"], content_json(logs))
     return renumber(unique, k)
-
-
-def _content(logs: DataFrame) -> Column:
-    return content_json(logs)

@@ -496,7 +496,9 @@ def dedupe_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "text")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed(
+        "doc_id", "id"
+    )
     return similar.near_duplicates(docs).select("id", "leader", F.round("ratio", 6).alias("ratio"))
 
 
