@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
+from logweir.llm.mixing import mix
 from logweir.llm.rows import table
+from logweir.llm.simhash import near_duplicates
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +22,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = index_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    best = top_k(index, index.where(F.col("id") % 20 == 0))
+    return best.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 OP4_SQL = r"""
@@ -40,6 +68,23 @@ SELECT doc_id, count(*) AS n_lines,
 FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
 """
 
+OP10_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM sound q JOIN sound d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 ORACLES = {
     "op4_line_dedup": OP4_SQL,
+    "op10_exact_topk": OP10_SQL,
 }
