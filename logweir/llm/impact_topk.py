@@ -111,10 +111,12 @@ def block_top(
 
 
 def _cell(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+    if not left.num_rows or not right.num_rows:
+        return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "id", "score")})
+    ids, query_ids = left["id"].to_numpy(), right["query_id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     vectors = left["v"].to_numpy()
-    asked = list(right["v"].to_numpy())
+    asked = list(right["asked"].to_numpy())
     width = max((len(v) for v in [*vectors, *asked]), default=0)
     queries = _matrix(asked, width)
     found = []
@@ -122,7 +124,7 @@ def _cell(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         some = order[at : at + 2048]
         block = _matrix([vectors[i] for i in some], width)
         found.append(block_top(ids[some], block, query_ids, queries, k))
-    parts = [np.concatenate(p) for p in zip(*found, strict=True)] if found else [[], [], []]
+    parts = [np.concatenate(p) for p in zip(*found, strict=True)]
     return pa.table(
         {n: pa.array(p, pa.int64()) for n, p in zip(("query_id", "id", "score"), parts, strict=True)}
     )
@@ -144,8 +146,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("query_block"),
     )
     right = queries.select(
-        "id",
-        "v",
+        F.col("id").alias("query_id"),
+        F.col("v").alias("asked"),
         F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(wide)).cast("int").alias("query_block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tall - 1).cast("long"))).alias("block"),
     )

@@ -72,8 +72,9 @@ def source_targets(sizes: DataFrame, weights: list[int], limit: int) -> DataFram
             / F.sum("weight").over(onward),
         )
         .withColumn("open", F.col("most") >= F.col("level") * F.col("weight"))
-        # The first source that stays below its limit sets the level of all after it.
-        .withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(everything))
+        # The first source that stays below its limit sets the level of all after it; from
+        # there on levels only fall.
+        .withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
     )
     most = F.col("most").cast("double")
     target = F.least(most, F.coalesce(F.col("level") * F.col("weight"), most))

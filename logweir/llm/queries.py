@@ -70,9 +70,9 @@ FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
 
 OP10_SQL = """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, d.vec_id,
     CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
