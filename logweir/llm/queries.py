@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
 from logweir.llm.mixing import mix
+from logweir.llm.pieces import Pieces, encode
 from logweir.llm.rows import table
 from logweir.llm.simhash import near_duplicates
+from logweir.llm.warc import round_trip
+from logweir.llm.wordpiece import piece_sets, token_counts
+
+
+def piece_file() -> str:
+    """The SentencePiece model of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return encode(documents, Pieces.load(piece_file()), carry=["doc_id"])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +37,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select(
+        F.col("row_key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        "intact",
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -31,6 +57,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return token_counts(documents, piece_sets(piece_file()), carry=["doc_id"])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select(
@@ -45,8 +76,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
@@ -68,6 +102,22 @@ SELECT doc_id, count(*) AS n_lines,
 FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
 """
 
+OP8_SQL = """
+WITH bytes AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+bits AS (
+  SELECT page_id, octet_length(body) AS payload_bytes,
+    CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM bytes),
+named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j:
+      CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j)))::INTEGER, 1)), '')
+    AS payload_digest FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to, true AS intact
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM named)
+"""
+
 OP10_SQL = """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -86,5 +136,6 @@ SELECT * FROM ranked WHERE rank <= 20
 
 ORACLES = {
     "op4_line_dedup": OP4_SQL,
+    "op8_warc": OP8_SQL,
     "op10_exact_topk": OP10_SQL,
 }

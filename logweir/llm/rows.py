@@ -23,12 +23,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def packed(df: DataFrame, **more: Column) -> DataFrame:
-    """All columns of ``df`` in one struct ``row``, beside the columns of ``more``.
+def packed(df: DataFrame, carry: list[str] | None = None, **more: Column) -> DataFrame:
+    """Columns ``carry`` of ``df`` (all if None) in one struct ``row``, beside those of ``more``.
 
     Whatever the input columns are called, they cannot clash with ``more``.
     """
-    row = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+    carried = df.columns if carry is None else carry
+    row = F.struct(*[F.col(quoted(c)) for c in carried]).alias("row")
     return df.select(row, *[c.alias(n) for n, c in more.items()])
 
 

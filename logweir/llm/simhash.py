@@ -60,18 +60,17 @@ def fingerprint(text: bytes | None, words: int, seed: int) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42
 ) -> DataFrame:
-    """All rows as ``(row, fp)``; ``fp`` holds the 64 bits as a signed long."""
+    """``(id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t, words, seed) for t in texts_as_bytes(batch["text"])]
         fp = pa.array(np.array(found, np.uint64).view(np.int64))
-        return pa.record_batch({"row": batch["row"], "fp": fp})
+        return pa.record_batch({"id": batch["id"], "fp": fp})
 
-    whole = packed(docs, text=F.col(text))
-    kind = whole.schema["row"].dataType.simpleString()
-    return map_batches(whole, of, f"row {kind}, fp long")
+    plain = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return map_batches(plain, of, "id long, fp long")
 
 
 def _odd(values: np.ndarray) -> np.ndarray:
@@ -221,10 +220,7 @@ def near_duplicates(
 
     ``component_id`` is the smallest id reachable over links, the own one included.
     """
-    marked = fingerprints(docs.select(row_id, text), text, words, seed).select(
-        F.col("row").getField(row_id).alias("id"), "fp"
-    )
-    marked = written(marked)
+    marked = written(fingerprints(docs, row_id, text, words, seed))
     firsts = marked.groupBy("fp").agg(F.min("id").alias("first"))
     firsts = written(firsts)
     tied = components(links(firsts))
