@@ -199,7 +199,7 @@ def links(fps: DataFrame, prefix: int | None = None) -> DataFrame:
     """
     fps = fps.select("fp")
     if prefix is None:
-        prefix = min(20, max(8, math.ceil(math.log2(max(2, fps.count()) / 1000))))
+        prefix = min(32, max(8, math.ceil(math.log2(max(2, fps.count()) / 200))))
     sent = map_batches(fps, lambda batch: _groups_of(batch, prefix), "part long, fp long")
     # One row per group, at most 2^prefix.
     crowd = sent.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
