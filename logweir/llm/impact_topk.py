@@ -124,7 +124,11 @@ def _cell(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         some = order[at : at + 2048]
         block = _matrix([vectors[i] for i in some], width)
         found.append(block_top(ids[some], block, query_ids, queries, k))
-    parts = [np.concatenate(p) for p in zip(*found, strict=True)]
+    query, near, score = (np.concatenate(p) for p in zip(*found, strict=True))
+    ranked = np.lexsort((near, -score, query))
+    query, near, score = query[ranked], near[ranked], score[ranked]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    parts = query[best], near[best], score[best]
     return pa.table(
         {n: pa.array(p, pa.int64()) for n, p in zip(("query_id", "id", "score"), parts, strict=True)}
     )
