@@ -183,10 +183,10 @@ def judge(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    class_limit: float = 0.2,
-    word_limit: float = 0.55,
+    class_limit: float = 0.28,
+    word_limit: float = 0.45,
     least_chars: int = 200,
-    least_words: int = 80,
+    least_words: int = 50,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Columns ``carry`` (all if None) with the base counts, both distances and ``kept``.
