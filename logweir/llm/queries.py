@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import language
+from logweir.llm import language, toxicity
 from logweir.llm.divergence import judge
 from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
@@ -37,6 +37,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    held_out = language.bucket(F.col("doc_id"), 5) == 0
+    grammar = toxicity.learn(documents, labels.where(~held_out))
+    scored = toxicity.score(documents, grammar, carry=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_clauses")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -101,6 +109,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
