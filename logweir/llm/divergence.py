@@ -5,8 +5,9 @@ characters (lower case, upper case, digits, white space, punctuation, symbols,
 all else) and the common words of the language with one bin for all other words.
 The measure is the Jensen-Shannon distance (square root, base 2, 0 to 1), and the
 nearest language counts. A text is kept when the base rules hold and both
-distances are below their limits; a distance is not used, as it means little,
-for texts shorter than its guard.
+distances are below their limits. Length guards keep chance out: a distance is not
+used for texts shorter than its minimum, and as few words scatter widely, the limit
+for words is higher for short texts, by ``scatter`` over the root of their number.
 
 References are counted over all rows that have a language. Only they (one row
 per language, ``COMMON`` words each) come to the driver, as literals of the plan.
@@ -184,7 +185,8 @@ def judge(
     text: str = "text",
     lang: str = "lang",
     class_limit: float = 0.28,
-    word_limit: float = 0.45,
+    word_limit: float = 0.2,
+    scatter: float = 2.0,
     least_chars: int = 200,
     least_words: int = 50,
     carry: list[str] | None = None,
@@ -231,7 +233,8 @@ def judge(
         }
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= word_limit
+        F.coalesce("word_distance", F.lit(0.0))
+        <= word_limit + scatter / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     )
     names = (
         "n_words",

@@ -15,8 +15,9 @@ memory, whatever the tables' sizes.
 
 Defined results: vectors that are null or hold null or non-finite components take
 no part, as query or as candidate; vectors of different length are filled up
-with zeros; a query with fewer than ``k`` candidates gets all of them; rows of
-one id are candidates each, a query never meets its own id; a null id takes no part.
+with zeros; a query with fewer than ``k`` candidates gets all of them; rows of one id are
+candidates each, but one query (the smallest vector), and a query never meets its own
+id; a null id takes no part.
 """
 
 from __future__ import annotations
@@ -140,6 +141,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both hold ``(id, v)``, see ``whole_vectors``. Every index row is sent once per
     query block and every query once per index block.
     """
+    queries = written(queries.groupBy("id").agg(F.min("v").alias("v")))
     rows, asked = index.count(), queries.count()
     tall, wide = max(1, -(-rows // INDEX_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     place = F.xxhash64("id")
