@@ -10,12 +10,13 @@ with one ``tilt`` per source, the minimum of a convex dual. Newton steps find it
 for all sources at once: each step is one aggregation over (source, size)
 counts, kept inside a bracket that every step narrows.
 
-Rates become copies by systematic rounding: along the sizes of a source, from
-the largest down, the fractions of copies add up, and each time they pass a
-whole number the size at hand gets one copy more. Where counting starts shifts
-the source's words a little; of ``STARTS`` starts the one nearest to the target is
-taken. Inside a size the documents of smallest hash get the extra copies. All
-sums are of whole or decimal numbers, so a rerun gives the same copies.
+Rates become copies by systematic rounding: along the sizes of a source that have
+as many binary digits, the fractions of copies add up, and each time they pass a
+whole number the size at hand gets one copy more. Where counting starts shifts the
+words taken a little. From the longest documents down, each such class takes that of
+``STARTS`` starts which best makes up for what rounding left over above it. Inside a
+size the documents of smallest hash get the extra copies. All sums are of whole or
+decimal numbers, so a rerun gives the same copies.
 
 Defined results: a null or empty text has size 0, no words to take and no copies;
 a null source is a source of its own, last in order; rows of one id are mixed as
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from logweir.llm.rows import WORD, quoted, unpacked
 from logweir.session import settle
 
-#: Places where the rounding of a source may start.
+#: Places where the rounding of a class of sizes may start.
 STARTS = 64
 #: Groups by hash that the documents of one (source, size) are ranked in.
 SLICES = 256
@@ -171,29 +172,53 @@ def copies_of_sizes(cells: DataFrame, solved: DataFrame, limit: int) -> DataFram
         F.lit(0.0),
     )
     due = F.when(F.col("size") > 0, F.round(F.col("docs") * r, 9)).otherwise(0.0)
-    down = Window.partitionBy("key").orderBy(F.desc("size"))
+    down = Window.partitionBy("key", "class").orderBy(F.desc("size"))
     cut = (
         cells.join(solved, "key")
+        .withColumn("class", F.length(F.bin("size")))
         .withColumn("due", due.cast("decimal(28,9)"))
         .withColumn("whole", F.floor("due").cast("long"))
         .withColumn("part", F.col("due") - F.col("whole"))
         .withColumn("upto", F.sum("part").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("key", "size", "docs", "whole", "part", "upto")
+        .select("key", "class", "size", "docs", "whole", "part", "upto")
     )
     cut = settle(cut)
     begin = (F.col("start") / F.lit(float(STARTS))).cast("decimal(10,9)")
     more = (
         F.floor(F.col("upto") + begin) - F.floor(F.col("upto") - F.col("part") + begin)
     ).cast("long")
-    off = F.abs(F.sum(F.col("size") * (more - F.col("part"))))
+    off = F.sum(F.col("size") * (more - F.col("part"))).cast("double")
     starts = cut.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
-    best = (
-        starts.groupBy("key", "start")
+    # At most 63 classes of STARTS numbers for a source.
+    by_class = (
+        starts.groupBy("key", "class", "start")
         .agg(off.alias("off"))
+        .groupBy("key", "class")
+        .agg(F.collect_list(F.struct("off", "start")).alias("offs"))
         .groupBy("key")
-        .agg(F.min(F.struct("off", "start")).getField("start").alias("start"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("class")).alias("down"), "offs"))).alias("all"))
     )
-    return cut.join(best, "key").select(
+    chosen = "array<struct<class:int,start:int>>"
+
+    def take(done: Column, at: Column) -> Column:
+        tried = F.transform(
+            at["offs"],
+            lambda x: F.struct(
+                F.abs(done["left"] + x["off"]).alias("far"),
+                x["start"].alias("start"),
+                (done["left"] + x["off"]).alias("left"),
+            ),
+        )
+        best = F.array_min(tried)
+        own = F.struct((-at["down"]).alias("class"), best["start"].alias("start"))
+        starts_ = F.concat(done["starts"], F.array(own).cast(chosen))
+        return F.struct(best["left"].alias("left"), starts_.alias("starts"))
+
+    nothing = F.struct(F.lit(0.0).alias("left"), F.array().cast(chosen).alias("starts"))
+    best = by_class.select(
+        "key", F.inline(F.aggregate("all", nothing, take, lambda done: done["starts"]))
+    )
+    return cut.join(best, ["key", "class"]).select(
         "key", "size", "docs", (F.col("whole") + more).alias("copies")
     )
 
