@@ -187,7 +187,8 @@ class Lattice:
         origin = stretch[start]
         tail, head = start + origin, stop + origin
         offset = stop - base[origin]
-        order = np.argsort((offset << 32) | head)
+        # Stable: into one node, shorter pieces come first, whatever else is in the batch.
+        order = np.argsort((offset << 32) | head, kind="stable")
         tail, head, weight, offset = tail[order], head[order], weight[order], offset[order]
         self.piece = piece[order]
         self.tail = tail.astype(np.int32)
@@ -202,14 +203,16 @@ class Lattice:
             x = total[tail[low:high]] + weight[low:high]
             most = np.maximum.reduceat(x, begin)
             x = np.exp(x - np.repeat(most, counts[n:m]))
-            sums = np.add.reduceat(x, begin)
+            # Added up node by node, so that a share does not depend on its neighbours.
+            for k in range(1, int(counts[n:m].max())):
+                at = begin[counts[n:m] > k] + k
+                x[at] += x[at - 1]
+            sums = x[begin + counts[n:m] - 1]
             total[head[first[n:m]]] = most + np.log(sums)
-            upto = np.cumsum(x / np.repeat(sums, counts[n:m]))
-            upto -= np.repeat(upto[begin] - x[begin] / sums, counts[n:m])
-            self.share[low:high] = upto
-        if len(first):
-            self.share[first + counts - 1] = 1.0
-        # Draws look for (rank of the node) + u among (rank of the node) + share.
+            self.share[low:high] = np.rint(x / np.repeat(sums, counts[n:m]) * 2.0**30)
+        # Draws look for (rank of the node) + u among (rank of the node) + share; both are
+        # multiples of 2^-30, so a double holds the sums exactly.
+        self.share *= 2.0**-30
         self.share += np.repeat(np.arange(len(first)), counts)
         self.rank = np.full(len(total), -1, np.int32)
         self.rank[head[first]] = np.arange(len(first))
@@ -245,10 +248,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(stream: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1) of a stream at a step."""
+    """Numbers in [0, 1) of a stream at a step, in multiples of 2^-30."""
     odd = np.uint64((2 * step + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    # 40 bits: with the node's rank added, a double still holds them all.
-    return (_mix(stream + odd) >> np.uint64(24)) * 2.0**-40
+    return (_mix(stream + odd) >> np.uint64(34)) * 2.0**-30
 
 
 def decode_ids(ids: list[int], spelled: list[bytes]) -> str:
