@@ -23,7 +23,7 @@ def test_grammar_tells_patterns_apart():
     assert marks('"hello" idiot', "idiot") == [{"insult"}]
     assert marks("i will kill you now") == [{"threat"}]
     assert marks("i will kill time") == []
-    assert marks("not once in all these years an idiot", "idiot") == [{"insult"}]
+    assert marks("not once in all long years an idiot", "idiot") == [{"insult"}]
 
 
 def test_finder_takes_words_and_beginnings_in_their_clause():
