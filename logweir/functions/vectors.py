@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,27 +43,24 @@ def unit(vector: Column) -> Column:
 def hash_embedding(message: Column, dim: int = VECTOR_DIM) -> Column:
     """Unit vector of character codes: position ``i`` adds ``code / 255`` to ``i % dim``.
 
-    Work is linear in the text: each output cell walks its own positions only.
+    A whole batch of texts is one weighted count over (text, cell).
     """
 
-    def cells(codes: Column) -> Column:
-        last = F.size(codes) - 1
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda cell: F.when(cell > last, F.lit(0.0)).otherwise(
-                F.aggregate(
-                    F.sequence(cell, F.greatest(last, cell), F.lit(dim)),
-                    F.lit(0.0),
-                    lambda acc, i: acc + F.get(codes, i) / F.lit(255.0),
-                )
-            ),
-        )
-
-    text = F.coalesce(message, F.lit(""))
-    codes = F.when(text == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(text, ""), lambda ch: F.ascii(ch))
-    )
-    return unit(let(codes, cells))
+    @F.pandas_udf("array<double>")
+    def cells(texts: pd.Series) -> pd.Series:
+        bodies = texts.tolist()
+        sizes = np.array([len(t) for t in bodies], np.int64)
+        codes = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(bodies)), sizes)
+        place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % dim
+        # Without any character the count has no weights, and so whole numbers.
+        sums = np.bincount(row * dim + place, codes / 255.0, len(bodies) * dim).astype(float)
+        sums = sums.reshape(len(bodies), dim)
+        # The running sum adds in order of position, as the definition does.
+        sizes = np.sqrt(np.cumsum(sums * sums, axis=1)[:, -1:])
+        return pd.Series(list(np.divide(sums, sizes, out=sums, where=sizes > 0)))
+
+    return cells(F.coalesce(message, F.lit("")))
 
 
 def embed(message: Column, model: Callable[[Column], Column] | None = None) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.timestamps import log_timestamp
+from logweir.functions.vectors import let
 from logweir.schema import (
     ACCESS_LINE,
     FIELD_NAMES,
@@ -65,21 +66,42 @@ def _pairs(text: Column) -> Column:
     return F.transform(F.transform(found, lambda match: F.split(match, "=", 2)), pair)
 
 
+_RENAMED = {k: v for k, v in FIELD_NAMES.items() if k != v}
+
+
 def _canonical(name: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in FIELD_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, name), name)
+    # Most names stay as they are: a hash lookup tells, and the map is searched for the rest.
+    names = F.create_map(*[F.lit(x) for pair in _RENAMED.items() for x in pair])
+    return F.when(name.isin(*_RENAMED), F.try_element_at(names, name)).otherwise(name)
+
+
+#: Levels of nested containers in which two names of one meaning are merged.
+MERGED_LEVELS = 3
 
 
 def rename_nested(json: Column) -> Column:
     """Canonical names inside a nested JSON text, at any depth.
 
     Only names that occur are replaced. A name is a quoted text before a colon;
-    an escaped quote never closes it.
+    an escaped quote never closes it. Where names may come to mean the same, they
+    are merged as writing them into a dict one by one would, the last value wins.
     """
-    names = F.array_distinct(F.regexp_extract_all(json, F.lit(r'"([\w-]+)"\s*:'), 1))
-    known = F.filter(names, lambda n: _canonical(n) != n)
+    def renamed(names: Column) -> Column:
+        meanings = F.array_distinct(F.transform(names, _canonical))
+        replaced = _replaced(json, names)
+        merged = F.coalesce(_merged(json, MERGED_LEVELS), replaced)
+        return F.when(F.size(meanings) < F.size(names), merged).otherwise(replaced)
+
+    return let(_names_in(json), renamed)
+
+
+def _names_in(json: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(json, F.lit(r'"([\w-]+)"\s*:'), 1))
+
+
+def _replaced(json: Column, names: Column) -> Column:
     return F.aggregate(
-        known,
+        F.filter(names, lambda n: _canonical(n) != n),
         json,
         lambda text, n: F.regexp_replace(
             text,
@@ -89,6 +111,45 @@ def rename_nested(json: Column) -> Column:
     )
 
 
+def _is_container(kind: Column) -> Column:
+    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+
+
+def _merged(json: Column, levels: int) -> Column:
+    """Canonical names with values of one meaning merged, in objects and lists of objects.
+
+    Containers are read twice: as text, which keeps the order of names, and with
+    the types of their values.
+    """
+
+    def value(text: Column, typed: Column) -> Column:
+        inner = _replaced(text, _names_in(text))
+        if levels > 1:
+            inner = F.coalesce(_merged(text, levels - 1), inner)
+        return F.when(_is_container(F.schema_of_variant(typed)), inner).otherwise(F.to_json(typed))
+
+    def named(entry: Column, typed: Column) -> Column:
+        return F.struct(entry["key"].alias("k"), value(entry["value"], typed).alias("v"))
+
+    texts = F.map_entries(F.from_json(json, "map<string,string>"))
+    types = F.map_values(F.from_json(json, "map<string,variant>"))
+    merged = F.map_entries(let(F.zip_with(texts, types, named), _to_map))
+    pairs = F.transform(
+        merged, lambda e: F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), e["value"])
+    )
+    # A list may hold objects, which are merged; lists right inside it stay as they are.
+    items = F.zip_with(
+        F.from_json(json, "array<string>"),
+        F.from_json(json, "array<variant>"),
+        lambda text, typed: F.when(
+            F.startswith(F.schema_of_variant(typed), F.lit("ARRAY")), text
+        ).otherwise(value(text, typed)),
+    )
+    return F.when(
+        F.startswith(json, F.lit("{")), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    ).otherwise(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+
+
 def _json_entries(line: Column) -> Column:
     """Entries of a JSON object, nested values as JSON text; NULL when it is not one.
 
@@ -141,6 +202,16 @@ def recognise(lines: DataFrame, line: str = "line") -> DataFrame:
         )
         .withColumn("_loose", F.when((F.size("_access") == 1) & text.contains("="), prefix_end))
         .withColumn("_tail", F.when(F.col("_loose").isNotNull(), tail_message))
+        # Types of JSON values, read only where a value looks like a container.
+        .withColumn(
+            "_kinds",
+            F.when(
+                F.exists("_json", lambda e: e["v"].rlike(r"^[\[{]")),
+                F.transform_values(
+                    F.from_json(text, "map<string,variant>"), lambda k, v: F.schema_of_variant(v)
+                ),
+            ),
+        )
     )
     log4j, syslog, access = F.col("_log4j"), F.col("_syslog"), F.col("_access")
     loose, tail = F.col("_loose"), F.col("_tail")
@@ -201,18 +272,26 @@ def recognise(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def normalise(recognised: DataFrame) -> DataFrame:
-    """Add ``fields``, the canonical map of ``entries``; nested JSON is renamed inside."""
+    """Add ``fields``, the canonical map of ``entries``; nested JSON is renamed inside.
+
+    A text that merely looks like JSON stays as it is.
+    """
     nested = F.transform(
         F.col("entries"),
         lambda e: F.struct(
             e["k"].alias("k"),
-            F.when(e["v"].rlike(r"^[\[{]"), rename_nested(e["v"])).otherwise(e["v"]).alias("v"),
+            F.when(
+                F.coalesce(_is_container(F.try_element_at(F.col("_kinds"), e["k"])), F.lit(False)),
+                rename_nested(e["v"]),
+            )
+            .otherwise(e["v"])
+            .alias("v"),
         ),
     )
-    entries = F.when(F.col("format") == "json", nested).otherwise(F.col("entries"))
+    entries = F.when(F.col("_kinds").isNotNull(), nested).otherwise(F.col("entries"))
     return recognised.withColumn("_named", entries).withColumn(
         "fields", _to_map(F.col("_named"))
-    ).drop("_named")
+    ).drop("_named", "_kinds")
 
 
 def _unusable(line: Column) -> Column:

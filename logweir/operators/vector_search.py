@@ -66,7 +66,8 @@ def vector_top_k(
     """``(query_id, log_id, score, rank)``: cosine + 1 of the ``k`` nearest logs.
 
     ``queries`` has ``query_id``, ``query_vector`` and optionally ``lo`` and
-    ``hi``: an inclusive time range that is applied before scoring. Zero
+    ``hi``: an inclusive time range that is applied before scoring; logs without
+    a time are outside of every range and match where none is asked. Zero
     vectors, of logs or queries, match nothing.
     """
     spark = logs.sparkSession
@@ -103,19 +104,28 @@ def _block_hits(logs: DataFrame, rows: list, k: int, vector: str, out: T.StructT
         return logs.sparkSession.createDataFrame([], out)
     matrix = np.array([r.query_vector for r in rows], dtype=np.float64)
     matrix /= np.sqrt((matrix * matrix).sum(axis=1))[:, None]
-    lowest, highest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    lowest, highest = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
     lo = np.array([lowest if r.lo is None else r.lo for r in rows], dtype=np.int64)
     hi = np.array([highest if r.hi is None else r.hi for r in rows], dtype=np.int64)
+    # A log without a time stands at ``lowest``: outside every range, inside where none is asked.
+    lo = np.where((lo == lowest) & (hi < highest), lowest + 1, lo)
     queries = {"ids": [r.query_id for r in rows], "matrix": matrix, "lo": lo, "hi": hi}
 
     usable = logs.where(F.col(vector).isNotNull() & (F.size(vector) == matrix.shape[1]))
     if "timestamp" in logs.columns:
         at = F.unix_micros(F.col("timestamp"))
-        if lo.min() > lowest:
+        if lo.min() > lowest + 1:
             usable = usable.where(F.col("timestamp") >= F.timestamp_micros(F.lit(int(lo.min()))))
+            if "log_date" in logs.columns:  # whole partitions are left out
+                first = F.to_date(F.timestamp_micros(F.lit(int(lo.min()))))
+                usable = usable.where(F.col("log_date") >= first)
         if hi.max() < highest:
             usable = usable.where(F.col("timestamp") <= F.timestamp_micros(F.lit(int(hi.max()))))
+            if "log_date" in logs.columns:
+                last = F.to_date(F.timestamp_micros(F.lit(int(hi.max()))))
+                usable = usable.where(F.col("log_date") <= last)
     else:
         at = F.lit(0).cast("long")
-    narrow = usable.select("log_id", F.col(vector).alias("vector"), at.alias("at"))
+    at = F.coalesce(at, F.lit(lowest)).alias("at")
+    narrow = usable.select("log_id", F.col(vector).alias("vector"), at)
     return narrow.mapInPandas(lambda batches: _scan(batches, queries, k), out)

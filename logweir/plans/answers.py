@@ -11,8 +11,6 @@ from logweir.operators.reports import recent_anomalies
 from logweir.plans.retrieval import CONTENT
 from logweir.schema import ANOMALY_THRESHOLD
 
-TURNS_PER_PART = 10_000
-
 
 def joined(rows: DataFrame, keys: list[str], order: str, text: Column, sep: str) -> DataFrame:
     """Texts of a group in order, as one text; for groups of bounded size."""
@@ -40,9 +38,21 @@ def hit_line(rank: str = "pos") -> Column:
     )
 
 
-def hits_as_text(hits: DataFrame) -> DataFrame:
-    """One text per query of its hits; at most the hits a search returns."""
-    return joined(hits, ["query_id"], "pos", hit_line(), "\n")
+def of_queries(texts: DataFrame, queries: DataFrame | None, column: str) -> DataFrame:
+    """``texts`` with an empty text for each of ``queries`` that has none."""
+    if queries is None:
+        return texts
+    return (
+        queries.select("query_id")
+        .distinct()
+        .join(texts, "query_id", "left")
+        .select("query_id", F.coalesce(column, F.lit("")).alias(column))
+    )
+
+
+def hits_as_text(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One text per query of its hits; with ``queries`` an empty one for those without hits."""
+    return of_queries(joined(hits, ["query_id"], "pos", hit_line(), "\n"), queries, "text")
 
 
 def answer_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -113,19 +123,18 @@ def hit_json(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "log_id", "pos", text.alias("json"))
 
 
-def context_text(hits: DataFrame) -> DataFrame:
+def context_text(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """JSON lines of the hits of each query, in order: ``(query_id, context)``."""
     text = joined(hit_json(hits), ["query_id"], "pos", F.col("json"), "\n")
-    return text.withColumnRenamed("text", "context")
+    return of_queries(text.withColumnRenamed("text", "context"), queries, "context")
 
 
 def transcripts(turns: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """``Role: text`` lines of each conversation: ``(conv_id, part, transcript)``.
+    """``Role: text`` lines of each conversation: ``(conv_id, transcript)``.
 
     ``turns`` is ``(conv_id, turn, role, text)``; ``current`` ``(conv_id,
-    message)`` is added as a user turn unless it is the last turn already. A
-    conversation of more than ``TURNS_PER_PART`` turns gives several parts, so
-    no text or task grows with the longest conversation.
+    message)`` is added as a user turn unless it is the last turn already. The
+    result is one text per conversation, so the longest one must fit a row.
     """
     rows = turns.select("conv_id", "turn", "role", "text")
     if current is not None:
@@ -146,8 +155,7 @@ def transcripts(turns: DataFrame, current: DataFrame | None = None) -> DataFrame
         )
         rows = rows.unionByName(added)
     line = F.concat(capitalise(F.col("role")), F.lit(": "), F.col("text"), F.lit("\n"))
-    parts = rows.withColumn("part", F.floor(F.col("turn") / TURNS_PER_PART))
-    text = joined(parts, ["conv_id", "part"], "turn", line, "")
+    text = joined(rows, ["conv_id"], "turn", line, "")
     return text.withColumnRenamed("text", "transcript")
 
 

@@ -16,7 +16,7 @@ from logweir.functions.vectors import embed
 from logweir.operators.lexical_search import lexical_top_k
 from logweir.operators.vector_search import vector_top_k
 from logweir.schema import LOG_SCHEMA
-from logweir.session import is_small, top_k_per_group
+from logweir.session import is_small, settle, top_k_per_group
 
 #: What a hit shows: the stored record without vector and template.
 CONTENT = sorted(
@@ -177,7 +177,11 @@ def renumber(hits: DataFrame, size: int, keys: tuple[str, ...] = ("query_id",))
 
 
 def with_content(hits: DataFrame, logs: DataFrame) -> DataFrame:
-    """Hits with the columns they show; a checked-small hit list is what gets broadcast."""
+    """Hits with the columns they show; a checked-small hit list is what gets broadcast.
+
+    The hits are computed once, for the check and for the join.
+    """
+    hits = settle(hits)
     shown = logs.select("log_id", *[c for c in CONTENT if c in logs.columns])
     return shown.join(F.broadcast(hits) if is_small(hits) else hits, "log_id")
 
@@ -246,7 +250,7 @@ def lexical_else_vector(
     Plans with dates but no tokens are answered by the dates alone.
     """
     asked = plans.where(~F.col("no_search"))
-    found = lexical(logs, asked, k)
+    found = settle(lexical(logs, asked, k))
     dates_only = (F.size("tokens") == 0) & F.col("lo").isNotNull()
     unanswered = asked.where(~dates_only).join(
         found.select("query_id").distinct(), "query_id", "left_anti"

@@ -603,9 +603,9 @@ _CONTEXT = _CONTEXT.replace('"anomaly_label":null,"anomaly_score":null\' ||\n  \
 ORACLES["context_json"] = f"select source as query_id, context from ({_CONTEXT})"
 
 _TALK = """
-select conv_id, (turn // 10000)::bigint as part,
+select conv_id,
   string_agg(upper(left(role, 1)) || lower(substr(role, 2)) || ': ' || text || chr(10), '' order by turn) as transcript
-from {} group by 1, 2
+from {} group by 1
 """
 ORACLES["transcripts"] = _TALK.format("conversations")
 
@@ -629,3 +629,8 @@ select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, order_number, level, source, mes
   0::bigint as anomaly_label
 from ({_ORDERS})
 """
+
+ORACLES["parse_json_lookalikes"] = """
+select event_id as log_id, '{"status": ' || user_id || '}' as message,
+  '[{"amount":' || event_id || '}]' as order_lines from events
+"""

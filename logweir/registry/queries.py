@@ -697,6 +697,21 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def parse_json_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that look like JSON stay; inside real JSON two names of one meaning become one."""
+    line = F.format_string(
+        '{"time": "%s", "details": "{\\"status\\": %d}", "items": [{"price": 1, "total": %d}]}',
+        F.date_format("ts", TS_TEXT),
+        F.col("user_id").cast("long"),
+        F.col("event_id").cast("long"),
+    )
+    lines = spread_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("log_id"), F.lit("f.log").alias("file_name"), line.alias("line")
+    )
+    return parse.parse_logs(lines).select("log_id", "message", "order_lines")
+
+
 # -- ingest ------------------------------------------------------------------
 
 

@@ -22,12 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate files that all executors see.
 
     It is the one the cluster names in ``spark.checkpoint.dir``, or the
-    checkpoint folder already set; a temporary one is made only where neither
-    exists (tests, local runs).
+    checkpoint folder already set. A temporary one is made only for a local
+    master; on a cluster its executors would not share it, so that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="logweir-")
+    if folder:
+        return folder
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return tempfile.mkdtemp(prefix="logweir-")
 
 
 def scratch(spark: SparkSession) -> str:

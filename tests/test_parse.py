@@ -241,3 +241,16 @@ def test_abbreviations(spark):
         df.select(expand_abbreviations(F.col("t")).alias("t")).first().t
         == "database connection error, add subdb db_x"
     )
+
+
+def test_only_containers_are_renamed_inside(spark):
+    lines = [
+        '{"message": "{\\"status\\": 5}", "svc": "a"}',
+        '{"message": "[warn] \\"user\\": bad"}',
+        '{"items": [{"price": 1, "total": 2}, 3, "x"], "o": {"price": 1.5, "k": {"total": "a", "price": "b"}}}',
+    ]
+    df = spark.createDataFrame([(i, "f", x) for i, x in enumerate(lines)], "log_id int, file_name string, line string")
+    rows = parse_logs(df).orderBy("log_id").collect()
+    assert [r.message for r in rows[:2]] == ['{"status": 5}', '[warn] "user": bad']
+    assert rows[2].order_lines == '[{"amount":2},3,"x"]'
+    assert rows[2].attrs["o"] == '{"amount":1.5,"k":{"amount":"b"}}'

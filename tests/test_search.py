@@ -198,14 +198,38 @@ def test_transcript_adds_the_current_message_once(spark):
     assert got == {1: "User: hi\nAssistant: yes?\nUser: now\n", 2: "User: now\n", 3: "User: now\n"}
 
 
-def test_long_transcripts_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(answers, "TURNS_PER_PART", 4)
-    turns = spark.range(10).select(
+def test_long_conversation_is_one_text_and_one_prompt(spark):
+    turns = spark.range(10_050).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text")
     )
-    parts = answers.transcripts(turns).orderBy("part").collect()
-    assert "".join(p.transcript for p in parts) == "".join(f"User: {i}\n" for i in range(10))
-    assert len(parts) == 3
+    talks = answers.transcripts(turns)
+    assert [r.transcript for r in talks.collect()] == ["".join(f"User: {i}\n" for i in range(10_050))]
+    plans = spark.createDataFrame([(1, "m", True, "")], "query_id long, message string, no_search boolean, search_query string")
+    contexts = spark.createDataFrame([], "query_id long, context string")
+    assert answers.prompt_rows(plans, contexts, talks.withColumnRenamed("conv_id", "query_id")).count() == 1
+
+
+def test_queries_without_hits_get_an_empty_text(spark):
+    hits = spark.createDataFrame(
+        [(1, 5, 1, None, "INFO", "m", 0.5, 1.5)],
+        "query_id long, log_id long, pos int, timestamp timestamp, level string, message string, anomaly_score double, score double",
+    )
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert {r.query_id: r.text == "" for r in answers.hits_as_text(hits, queries).collect()} == {1: False, 2: True}
+    assert {r.query_id: r.context == "" for r in answers.context_text(hits, queries).collect()} == {1: False, 2: True}
+
+
+def test_vector_search_and_logs_without_a_time(spark):
+    rows = [(1, None, [1.0, 0.0]), (2, dt.datetime(2024, 1, 1), [1.0, 0.1]), (3, dt.datetime(2025, 1, 1), [1.0, 0.2])]
+    logs = spark.createDataFrame(rows, "log_id long, timestamp timestamp, log_vector array<double>")
+    asked = [(1, [1.0, 0.0], None, None), (2, [1.0, 0.0], None, dt.datetime(2024, 6, 1)), (3, [1.0, 0.0], dt.datetime(2024, 6, 1), None)]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<double>, lo timestamp, hi timestamp")
+    for some in (queries, queries.where("query_id > 1"), queries.where("query_id = 1")):
+        found = {}
+        for r in vector_top_k(logs, some, 9).collect():
+            found.setdefault(r.query_id, set()).add(r.log_id)
+        want = {1: {1, 2, 3}, 2: {2}, 3: {3}}
+        assert found == {r.query_id: want[r.query_id] for r in some.collect()}
 
 
 def test_bucket_flags(spark):

@@ -39,3 +39,18 @@ def test_is_small_counts_rows_and_bytes(spark):
     assert is_small(df, rows=10)
     assert not is_small(df, rows=9)
     assert not is_small(df, rows=10, size=5000)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    from logweir.session import shared_folder
+
+    def session(master, folder=None):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+    assert shared_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
+    assert "logweir-" in shared_folder(session("local[4]"))
