@@ -2,10 +2,13 @@
 
 A message belongs to the leaf of its token count and first token. Inside a
 leaf, messages join the most similar template or start a new one, in the order
-in which they were first seen. Leaves are independent, so each is one group of
-its distinct messages. A leaf with too many of them is cut into shards by a
-hash; the templates of the shards are then clustered in turn, until each leaf
-fits one group. No task sees more than about ``SHARD_ROWS`` texts.
+in which they were first seen. Templates are state: they can be kept and handed
+to the next call, which goes on from them.
+
+Most messages fit a template as it stands. Those are placed wherever they are, by
+many tasks; only messages that fit none change templates, one by one, and they
+come in blocks of a leaf's first ``block`` of them, so that no task holds more.
+A leaf that fits one block is clustered exactly one by one.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.session import broadcast_if_small, join_on_hot_keys, settle, shuffle_parts, top_k_per_group
+from logweir.session import broadcast_if_small, join_on_hot_keys, settle, top_k_per_group
 
-# Wildcard, least share of equal tokens, first tokens per token count.
+# Wildcard, least share of equal tokens.
 WILDCARD = "<*>"
 SIMILARITY = 0.4
-NAMED_HEADS = 99
 
-SHARD_ROWS = 20_000
+#: Rows of a leaf that one task matches, and that change templates in one round.
+PLACED_AT_ONCE = 50_000
+BLOCK = 20_000
+STATE = "n_tokens int, head string, place int, tokens array<string>"
 
 
 def distinct_messages(logs: DataFrame) -> DataFrame:
@@ -34,21 +39,38 @@ def distinct_messages(logs: DataFrame) -> DataFrame:
     )
 
 
-def _with_leaf(messages: DataFrame) -> DataFrame:
-    """Add ``n_tokens`` and ``head``; a head with a digit, or one too many, is the wildcard."""
-    tokens = F.regexp_extract_all("message", F.lit(r"(?U)(\S+)"), 1)
-    first = F.coalesce(F.get("_tokens", F.lit(0)), F.lit(""))
-    rows = messages.withColumn("_tokens", tokens).select(
-        *messages.columns,
-        F.size("_tokens").alias("n_tokens"),
-        F.when(first.rlike(r"(?U)\d"), WILDCARD).otherwise(first).alias("_first"),
+def _with_leaf(messages: DataFrame, known: DataFrame | None, named_heads: int) -> DataFrame:
+    """Add ``tokens``, ``n_tokens`` and ``head``.
+
+    A head with a digit is the wildcard; of the others ``named_heads`` have leaves
+    of their own per token count, known ones first and then in order of first sight.
+    """
+    rows = messages.select(
+        "message",
+        "first_id",
+        F.regexp_extract_all("message", F.lit(r"(?U)(\S+)"), 1).alias("tokens"),
+    )
+    first = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
+    rows = rows.withColumns(
+        {
+            "n_tokens": F.size("tokens"),
+            "_first": F.when(first.rlike(r"(?U)\d"), WILDCARD).otherwise(first),
+        }
     )
     heads = (
         rows.where(F.col("_first") != WILDCARD)
         .groupBy("n_tokens", "_first")
         .agg(F.min("first_id").alias("seen"))
+        .withColumn("fresh", F.lit(1))
     )
-    named = top_k_per_group(heads, ["n_tokens"], [F.col("seen")], NAMED_HEADS, spread="_first")
+    if known is not None:
+        old = known.where(F.col("head") != WILDCARD).select("n_tokens", F.col("head").alias("_first"))
+        heads = heads.unionByName(old.distinct().withColumn("fresh", F.lit(0)), True)
+        heads = heads.groupBy("n_tokens", "_first").agg(
+            F.min("fresh").alias("fresh"), F.min("seen").alias("seen")
+        )
+    order = [F.col("fresh"), F.col("seen")]
+    named = top_k_per_group(heads, ["n_tokens"], order, named_heads, spread="_first")
     named = named.select("n_tokens", "_first", F.col("_first").alias("head"))
     return (
         rows.join(broadcast_if_small(named), ["n_tokens", "_first"], "left")
@@ -57,103 +79,175 @@ def _with_leaf(messages: DataFrame) -> DataFrame:
     )
 
 
-def _cluster(group: pd.DataFrame) -> pd.DataFrame:
-    """Template of each text of one leaf shard, in order of first sight."""
-    group = group.sort_values("first_id")
-    code: dict[str, int] = {WILDCARD: 0}
-    known = np.empty((16, int(group["n_tokens"].iloc[0])), dtype=np.int64)
-    count = 0
-    owner = np.empty(len(group), dtype=np.int64)
-    wild_counts = bool(group["is_template"].iloc[0])
-    for row, text in enumerate(group["text"]):
-        tokens = np.array([code.setdefault(t, len(code)) for t in text.split()], dtype=np.int64)
-        best = -1
-        if count:
-            constant = known[:count] != 0
-            # two wildcards agree only between templates, never in a fresh message
-            same = (known[:count] == tokens) & (constant | wild_counts)
-            share = same.sum(axis=1) / max(len(tokens), 1)
-            wild = (~constant).sum(axis=1)
-            best = int(np.lexsort((np.arange(count), -wild, -share))[0])
-            if len(tokens) and share[best] < SIMILARITY:
-                best = -1
+class _Leaf:
+    """Templates of one leaf as rows of token codes; code 0 is the wildcard."""
+
+    def __init__(self, state: pd.DataFrame, width: int):
+        self.code: dict[str, int] = {WILDCARD: 0}
+        state = state.sort_values("place")
+        self.places = state["place"].tolist()
+        self.rows = np.empty((max(16, 2 * len(state)), width), np.int64)
+        self.count = len(state)
+        for row, tokens in enumerate(state["tokens"]):
+            self.rows[row] = self.codes(tokens)
+
+    def codes(self, tokens) -> np.ndarray:
+        return np.array([self.code.setdefault(t, len(self.code)) for t in tokens], np.int64)
+
+    def best(self, tokens: np.ndarray) -> int:
+        """The most similar template, of equals that with more wildcards, then the first; -1: none."""
+        if not self.count:
+            return -1
+        constant = self.rows[: self.count] != 0
+        share = ((self.rows[: self.count] == tokens) & constant).sum(axis=1) / max(len(tokens), 1)
+        wild = (~constant).sum(axis=1)
+        best = int(np.lexsort((np.arange(self.count), -wild, -share))[0])
+        return -1 if len(tokens) and share[best] < SIMILARITY else best
+
+    def take(self, tokens: np.ndarray) -> int:
+        """Put a message in: its template gets wildcards, or a new one is started."""
+        best = self.best(tokens)
         if best >= 0:
-            known[best] = np.where(known[best] == tokens, known[best], 0)
-        else:
-            if count == len(known):
-                known = np.concatenate([known, np.empty_like(known)])
-            known[count] = tokens
-            best, count = count, count + 1
-        owner[row] = best
-    names = list(code)
-    templates = [" ".join(names[t] for t in known[i]) for i in range(count)]
-    return pd.DataFrame(
+            self.rows[best] = np.where(self.rows[best] == tokens, self.rows[best], 0)
+            return best
+        if self.count == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.count] = tokens
+        self.places.append(self.places[-1] + 1 if self.places else 0)
+        self.count += 1
+        return self.count - 1
+
+    def templates(self) -> list[list[str]]:
+        names = list(self.code)
+        return [[names[c] for c in row] for row in self.rows[: self.count]]
+
+
+def _fitting(group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Place of the template that each message fits as it stands, -1 where that would change."""
+    if group.empty:
+        return pd.DataFrame({"message": [], "place": []})
+    leaf = _Leaf(state, int(group["n_tokens"].iloc[0]))
+    codes = np.stack([leaf.codes(t) for t in group["tokens"]])
+    top = np.full(len(codes), -1.0)
+    wild, place = np.full(len(codes), -1), np.full(len(codes), -1)
+    for row in range(leaf.count):
+        template = leaf.rows[row]
+        constant = template != 0
+        same = (codes[:, constant] == template[constant]).sum(axis=1)
+        share, stars = same / max(codes.shape[1], 1), int((~constant).sum())
+        better = (share > top) | ((share == top) & (stars > wild))
+        fits = better & (same == constant.sum()) & ((share >= SIMILARITY) | (codes.shape[1] == 0))
+        place = np.where(better, np.where(fits, leaf.places[row], -1), place)
+        top, wild = np.where(better, share, top), np.where(better, stars, wild)
+    return pd.DataFrame({"message": group["message"].to_numpy(), "place": place})
+
+
+def _grown(group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Messages put in one by one (``message`` set), and the leaf's templates after that."""
+    some = state if group.empty else group
+    leaf = _Leaf(state, int(some["n_tokens"].iloc[0]))
+    group = group.sort_values("first_id")
+    owner = [leaf.take(leaf.codes(t)) for t in group["tokens"]]
+    templates = leaf.templates()
+    out = pd.DataFrame(
         {
-            "text": group["text"].to_numpy(),
-            "template": [templates[i] for i in owner],
-            "n_tokens": group["n_tokens"].to_numpy(),
-            "head": group["head"].to_numpy(),
-            "first_id": group["first_id"].to_numpy(),
+            "message": group["message"].tolist() + [None] * len(templates),
+            "place": [leaf.places[o] for o in owner] + leaf.places,
+            "tokens": [None] * len(group) + templates,
         }
     )
+    return out.assign(n_tokens=int(some["n_tokens"].iloc[0]), head=some["head"].iloc[0])
 
 
-def _cluster_leaves(texts: DataFrame, shard_rows: int) -> tuple[DataFrame, bool]:
-    """One round: ``(text, template, leaf, first_id)`` and whether a leaf was cut."""
-    id_type = texts.schema["first_id"].dataType.simpleString()
-    hot = (
-        texts.groupBy("n_tokens", "head")
-        .agg(F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") > shard_rows)
-        .select("n_tokens", "head", F.ceil(F.col("texts") / shard_rows).alias("shards"))
-    )
-    hot = settle(hot)
-    cut = not hot.isEmpty()
-    sharded = texts.withColumn("shard", F.lit(0).cast("long"))
-    if cut:
-        sharded = (
-            texts.join(broadcast_if_small(hot), ["n_tokens", "head"], "left")
-            .withColumn(
-                "shard", F.coalesce(F.pmod(F.xxhash64("text"), F.col("shards")), F.lit(0))
+def grow_templates(
+    messages: DataFrame,
+    known: DataFrame | None = None,
+    named_heads: int = 99,
+    block: int = BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """``(placed, state)`` for distinct messages ``(message, first_id, ...)``.
+
+    ``placed`` is ``(message, n_tokens, head, place)``, ``state`` the templates after
+    all messages, as ``STATE``; ``known`` is the state of an earlier call. Matching
+    runs over (leaf, part) groups of about ``PLACED_AT_ONCE`` messages, with the
+    leaf's templates sent to each part.
+    """
+    spark = messages.sparkSession
+    state = spark.createDataFrame([], STATE) if known is None else known.select("n_tokens", "head", "place", "tokens")
+    todo = settle(_with_leaf(messages, known, named_heads))
+    leaf, placed = ["n_tokens", "head"], None
+    names = ["message", *leaf, "place"]
+    while True:
+        parts = todo.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / PLACED_AT_ONCE).cast("int").alias("parts"))
+        parts = settle(parts)
+        if not state.isEmpty():
+            sized = join_on_hot_keys(todo, parts, leaf, spread="message").withColumn(
+                "part", F.pmod(F.xxhash64("message"), F.col("parts")).cast("int")
             )
-            .drop("shards")
+            # Aliases of their own: both sides of a cogroup may come from one table.
+            copies = state.join(parts, leaf).select(
+                F.col("n_tokens").alias("k_tokens"),
+                F.col("head").alias("k_head"),
+                "place",
+                "tokens",
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k_part"),
+            )
+            fitting = (
+                sized.groupBy(*leaf, "part")
+                .cogroup(copies.groupBy("k_tokens", "k_head", "k_part"))
+                .applyInPandas(_fitting, "message string, place int")
+            )
+            found = settle(todo.join(fitting, "message"))
+            fits = found.where(F.col("place") >= 0).select(*names)
+            placed = fits if placed is None else placed.unionByName(fits)
+            todo = found.where(F.col("place") < 0).drop("place")
+        if todo.isEmpty():
+            break
+        first = top_k_per_group(todo, leaf, [F.col("first_id")], block, spread="message").drop("rank")
+        first = settle(first)
+        touched = first.select(*leaf).distinct()
+        mine = state.join(touched, leaf, "left_semi").select(
+            F.col("n_tokens").alias("k_tokens"), F.col("head").alias("k_head"), "place", "tokens"
         )
-    parts = shuffle_parts(texts.sparkSession)
-    sharded = sharded.repartition(parts, "n_tokens", "head", "shard")
-    clustered = sharded.groupBy("n_tokens", "head", "shard").applyInPandas(
-        _cluster,
-        f"text string, template string, n_tokens int, head string, first_id {id_type}",
-    )
-    return settle(clustered), cut
+        mine = mine.withColumns({"n_tokens": F.col("k_tokens"), "head": F.col("k_head")})
+        grown = settle(
+            first.groupBy(*leaf)
+            .cogroup(mine.groupBy("k_tokens", "k_head"))
+            .applyInPandas(_grown, f"message string, {STATE}")
+        )
+        put = grown.where(F.col("message").isNotNull()).select(*names)
+        placed = put if placed is None else placed.unionByName(put)
+        others = state.join(touched, leaf, "left_anti")
+        new = grown.where(F.col("message").isNull()).select(*state.columns)
+        state = settle(others.unionByName(new))
+        todo = settle(todo.join(first.select("message"), "message", "left_anti"))
+        if todo.isEmpty():
+            break
+    if placed is None:
+        placed = todo.select("message", *leaf, F.lit(0).alias("place")).limit(0)
+    return placed, state
 
 
-def mine_templates(messages: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def named(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """``(message, template)`` of placed messages."""
+    texts = state.select("n_tokens", "head", "place", F.array_join("tokens", " ").alias("template"))
+    keys = ["n_tokens", "head", "place"]
+    return join_on_hot_keys(placed, texts, keys, spread="message").select("message", "template")
+
+
+def mine_templates(
+    messages: DataFrame, named_heads: int = 99, block: int = BLOCK
+) -> DataFrame:
     """``(message, template)`` of distinct messages ``(message, first_id, ...)``."""
-    leaves = _with_leaf(messages).select(
-        F.col("message").alias("text"), "n_tokens", "head", "first_id"
+    return named(*grow_templates(messages, None, named_heads, block))
+
+
+def latest_state(stored: DataFrame) -> DataFrame:
+    """The templates of an appended store: a template only gains wildcards, the one with most is the last."""
+    stars = F.size(F.filter("tokens", lambda t: t == WILDCARD))
+    return stored.groupBy("n_tokens", "head", "place").agg(
+        F.max_by("tokens", stars).alias("tokens")
     )
-    parts = shuffle_parts(messages.sparkSession)
-    leaves = settle(leaves.withColumn("is_template", F.lit(False)).repartition(parts, "text"))
-    found, cut = _cluster_leaves(leaves, shard_rows)
-    mapping = found.select(F.col("text").alias("message"), "template")
-    before = None
-    while cut:
-        texts = found.groupBy(F.col("template").alias("text"), "n_tokens", "head").agg(
-            F.min("first_id").alias("first_id")
-        )
-        texts = settle(texts.withColumn("is_template", F.lit(True)))
-        now = texts.count()
-        if before is not None and now > 0.9 * before:
-            break  # what is left is dissimilar in every random mix of shards
-        before = now
-        found, cut = _cluster_leaves(texts, shard_rows)
-        step = found.select(
-            F.col("text").alias("template"), F.col("template").alias("merged")
-        )
-        mapping = join_on_hot_keys(mapping, step, ["template"], spread="message").select(
-            "message", F.col("merged").alias("template")
-        )
-    return mapping
 
 
 def attach_templates(logs: DataFrame, templates: DataFrame) -> DataFrame:

@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from logweir.functions.vectors import embed
 from logweir.operators.anomaly import Detector
-from logweir.operators.lookup import first_stored, lookup_or_compute
 from logweir.operators.parse import parse_logs, to_log_schema
 from logweir.operators.reports import anomalies, bucket_means
-from logweir.operators.templates import mine_templates
+from logweir.operators.templates import STATE, attach_templates, grow_templates, latest_state, named
 from logweir.schema import ANOMALY_THRESHOLD, VECTOR_DIM
 from logweir.session import settle
 from logweir.sources.files import stream_log_dir, with_log_ids
 from logweir.sources.store import append_keyed, append_logs, read_stored
 
-_TEMPLATES = "message string, template string, timestamp timestamp"
+_TEMPLATES = f"{STATE}, timestamp timestamp"
 
 
 def score_records(
@@ -45,25 +45,30 @@ def score_records(
 
 
 def with_templates(records: DataFrame, path: str, now: Column) -> DataFrame:
-    """Records with the template of their message; new ones are added to the table at ``path``.
+    """Records with the template of their message, as it is after this batch.
 
-    A message keeps the template it was first given.
+    The table at ``path`` holds the templates of all batches, by leaf: it grows with
+    the templates, not with the messages. New and changed ones are appended.
     """
-    from pyspark.sql.types import StructType
-
     spark = records.sparkSession
-    schema = StructType.fromDDL(_TEMPLATES)
-    stored = read_stored(spark, path, schema)
-    known = None if stored is None else first_stored(stored, "message").select("message", "template")
-
-    def mine(missing: DataFrame) -> DataFrame:
-        return mine_templates(missing.withColumn("first_id", F.sha2("message", 256)))
-
-    named, fresh = lookup_or_compute(records, known, mine, "template")
-    append_keyed(fresh.withColumn("timestamp", now), path, "message")
-    return named.withColumn(
-        "semantic_template", F.coalesce("semantic_template", "template", "message")
-    ).drop("template")
+    stored = read_stored(spark, path, StructType.fromDDL(_TEMPLATES))
+    known = None if stored is None else settle(latest_state(stored))
+    first = F.concat_ws("|", F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), "message")
+    messages = (
+        records.where(F.col("semantic_template").isNull() & F.col("message").isNotNull())
+        .groupBy("message")
+        .agg(first.alias("first_id"))
+    )
+    placed, state = grow_templates(messages, known)
+    changed = state
+    if known is not None:
+        changed = state.join(known, ["n_tokens", "head", "place", "tokens"], "left_anti")
+    changed.withColumn("timestamp", now).write.mode("append").parquet(path)
+    failed = F.col("semantic_template").alias("_failed")
+    named_rows = attach_templates(records.select("*", failed).drop("semantic_template"), named(placed, state))
+    return named_rows.withColumn(
+        "semantic_template", F.coalesce("_failed", "semantic_template")
+    ).drop("_failed")
 
 
 def ingest_batch(
@@ -71,7 +76,6 @@ def ingest_batch(
     table: str,
     templates: str,
     alerts: str,
-    batch_id: int,
     detector: Detector | None = None,
     model: Callable[[Column], Column] | None = None,
     threshold: float = ANOMALY_THRESHOLD,
@@ -89,7 +93,8 @@ def ingest_batch(
     alert = anomalies(rows, threshold).select(
         "log_id", "timestamp", "level", "source", "message", "anomaly_score"
     )
-    alert.write.mode("overwrite").parquet(f"{alerts}/batch_id={batch_id}")
+    # By log, not by batch number, which starts anew with every checkpoint.
+    append_keyed(alert, alerts, "log_id")
 
 
 def start_ingest(
@@ -108,7 +113,7 @@ def start_ingest(
     """Watch ``path`` for new log files; ``every=None`` takes what is there and stops."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        ingest_batch(lines, table, templates, alerts, batch_id, detector, model)
+        ingest_batch(lines, table, templates, alerts, detector, model)
 
     lines = stream_log_dir(spark, path, files_per_batch, archive)
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

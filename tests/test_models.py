@@ -51,17 +51,45 @@ def test_templates_equal_sequential_clustering(spark):
     assert got == _sequential(messages)
 
 
-def test_sharded_templates_are_whole(spark):
-    rows = spark.createDataFrame(list(enumerate(_messages()[:400])), "log_id long, message string")
-    rows = rows.where(~F.startswith("message", F.lit("error")))
-    found = templates.mine_templates(templates.distinct_messages(rows), shard_rows=20)
-    got = {r.message: r.template for r in found.collect()}
-    assert len(got) == rows.count()
-    assert set(got.values()) == {
-        "user <*> logged in from <*>",
-        "cache miss for key <*>",
-        "<*> rows written to table <*>",
+def test_templates_do_not_depend_on_the_block(spark, monkeypatch):
+    """Every leaf, also that of unlike messages, is larger than a block."""
+    monkeypatch.setattr(templates, "PLACED_AT_ONCE", 30)
+    messages = _messages()
+    rows = spark.createDataFrame(list(enumerate(messages)), "log_id long, message string")
+    found = templates.mine_templates(templates.distinct_messages(rows), block=70)
+    assert {r.message: r.template for r in found.collect()} == _sequential(messages)
+
+
+def test_templates_go_on_from_a_kept_state(spark):
+    many = [f"order {i} of user u{i} placed" for i in range(40)]
+    later = ["order 50 of user u0 placed", "order 51 of user u9 shipped", "something else entirely here now"]
+
+    def grow(messages, known=None):
+        rows = spark.createDataFrame([(m, i) for i, m in enumerate(messages)], "message string, first_id long")
+        placed, state = templates.grow_templates(rows, known)
+        return {r.message: r.template for r in templates.named(placed, state).collect()}, state
+
+    first, state = grow(many)
+    assert set(first.values()) == {"order <*> of user <*> placed"}
+    second, after = grow(later, state)
+    assert second == {
+        later[0]: "order <*> of user <*> <*>",
+        later[1]: "order <*> of user <*> <*>",
+        later[2]: later[2],
     }
+    assert after.count() == 2
+    stored = state.unionByName(after)
+    assert sorted(map(str, templates.latest_state(stored).select("place", "tokens").collect())) == sorted(
+        map(str, after.select("place", "tokens").collect())
+    )
+
+
+def test_templates_of_odd_messages(spark):
+    messages = ["a\x1cb c", "a\x1dx c", "", "   ", "one"]
+    rows = spark.createDataFrame([(m, i) for i, m in enumerate(messages)], "message string, first_id long")
+    found = {r.message: r.template for r in templates.mine_templates(rows).collect()}
+    assert set(found) == set(messages) and found["one"] == "one" and found[""] == ""
+    assert templates.mine_templates(rows.where("first_id < 0")).count() == 0
 
 
 def test_attached_templates_fall_back_to_the_message(spark):
