@@ -101,18 +101,19 @@ def fit_detector(
     text: str = "message",
     contamination: float = CONTAMINATION,
     components: int = COMPONENTS,
+    share: float = COMPONENTS / MAX_TERMS,
 ) -> Detector:
     """Detector on TF-IDF features of a text column, fitted on good logs.
 
     A linear autoencoder spans the principal subspace of its input (Baldi and
-    Hornik 1989), so the reconstruction error is the part outside of it.
+    Hornik 1989), so the reconstruction error is the part outside of it. The
+    subspace has at most ``components`` directions and at most ``share`` of the
+    vocabulary's, or with few terms nothing would be left out.
     """
     if good.limit(MIN_ROWS).count() < MIN_ROWS:
         return Detector(None, None)
     words = fit_tfidf(good, text)
-    # A small vocabulary keeps the share of directions, or nothing would be left out.
-    width = len(terms_of(words))
-    directions = max(1, min(components, components * width // MAX_TERMS))
+    directions = max(1, min(components, int(share * len(terms_of(words)) + 1e-9)))
     stages = words.stages + _fit_subspace(tfidf(words, good), "tfidf", directions)
     detector = Detector(PipelineModel(stages), 0.0)
     detector.threshold = contamination_cut(detector.score(good), contamination)
@@ -179,20 +180,25 @@ def fit_forest(
 ) -> list:
     """Trees as rows of node lists; at most ``trees * 2 * sample`` nodes come to the driver.
 
-    A pool of ``trees * sample`` rows is drawn by hash order, and each tree
-    draws its rows from the pool, so no step depends on the size of ``df``.
+    Each tree takes the ``sample`` rows of the table whose hash with the tree is
+    smallest. A row is offered only to trees where its hash is below twice the
+    share that will be taken, so few rows travel; fewer than ``sample`` of them
+    has a chance far below that of a lost machine.
     """
     draw = df.select(
         F.col(row_id).alias("row_id"), F.col(features).cast("array<double>").alias("features")
     )
-    pool = draw.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(trees * sample)
-    shared = settle(pool)
-    per_tree = shared.select(
-        "row_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    )
-    order = [F.xxhash64("row_id", "tree", F.lit(seed)), F.col("row_id")]
+    steps = 2**40
+    offered = int(min(1.0, 2 * sample / max(1, draw.count())) * steps)
+
+    def place(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("row_id"), tree, F.lit(seed)), F.lit(steps))
+
+    taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: place(tree) < offered)
+    per_tree = draw.select("row_id", "features", F.explode(taken).alias("tree"))
+    order = [place(F.col("tree")), F.col("row_id")]
     drawn = top_k_per_group(per_tree, ["tree"], order, sample, spread="row_id", rank="place")
-    samples = drawn.join(shared, "row_id").withColumn("seed", F.lit(seed))
+    samples = drawn.withColumn("seed", F.lit(seed))
     schema = (
         "tree int, feature array<int>, split array<double>, left array<int>, "
         "right array<int>, path array<double>, rows int"

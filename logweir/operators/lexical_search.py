@@ -67,6 +67,10 @@ def _texts(logs: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
+#: Asked words up to which the plan lists them; more are told apart by the join alone.
+LISTED_WORDS = 1000
+
+
 def _bm25_idf() -> Column:
     df, docs = F.col("df"), F.col("docs")
     return F.log(1 + (docs - df + 0.5) / (df + 0.5))
@@ -79,16 +83,22 @@ def _text_hits(logs: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
     sizes = texts.groupBy("field").agg(
         F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean_length")
     )
+    vocabulary = asked.select("word").distinct()
+    place = F.transform("words", lambda w, at: F.struct(at.alias("position"), w.alias("word")))
+    if small:
+        # Words nobody asked for are left out before the texts become rows.
+        wanted = [r.word for r in vocabulary.limit(LISTED_WORDS + 1).collect()]
+        if len(wanted) <= LISTED_WORDS:
+            place = F.filter(place, lambda p: p["word"].isin(wanted))
     postings = texts.select(
         "log_id",
         *carried,
         "field",
         F.size("words").alias("length"),
-        F.posexplode("words").alias("position", "word"),
+        F.inline(place),
     )
     # Texts are read twice only, for their sizes and for the asked words. Those
     # few postings are written out, as weights and matches both read them.
-    vocabulary = asked.select("word").distinct()
     seen = settle(
         join_on_hot_keys(postings, vocabulary, ["word"], "log_id", small_known=small)
         .groupBy("field", "word", "log_id", *carried, "length")

@@ -13,6 +13,8 @@ Unicode keeps out of interchanged text.
 
 from __future__ import annotations
 
+from json import dumps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +73,13 @@ _RENAMED = {k: v for k, v in FIELD_NAMES.items() if k != v}
 
 def _canonical(name: Column) -> Column:
     # Most names stay as they are: a hash lookup tells, and the map is searched for the rest.
-    names = F.create_map(*[F.lit(x) for pair in _RENAMED.items() for x in pair])
+    # Written as JSON the map is one constant; as a list of literals it would be most of the plan.
+    names = F.from_json(F.lit(dumps(_RENAMED)), "map<string,string>")
     return F.when(name.isin(*_RENAMED), F.try_element_at(names, name)).otherwise(name)
 
 
 #: Levels of nested containers in which two names of one meaning are merged.
-MERGED_LEVELS = 3
+MERGED_LEVELS = 2
 
 
 def rename_nested(json: Column) -> Column:
