@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from logweir.operators.parse import to_log_schema
 from logweir.schema import LOG_SCHEMA
-from logweir.session import join_on_hot_keys, settle, shuffle_parts
+from logweir.session import broadcast_if_small, join_on_hot_keys, settle, shuffle_parts
 
 ROWS_PER_FILE = 2_000_000
 
@@ -50,8 +50,13 @@ def append_logs(records: DataFrame, path: str, now: Column | None = None) -> Non
         lo, hi = dates.agg(F.min("log_date"), F.max("log_date")).first()
         if lo is None:
             return
-        ids = known.where(F.col("log_date").between(F.lit(lo), F.lit(hi))).select("log_id")
-        rows = rows.join(ids, "log_id", "left_anti")
+        # Between the first and last date only partitions of the batch's own dates are read.
+        own = broadcast_if_small(dates.select("log_date"))
+        ids = known.where(F.col("log_date").between(F.lit(lo), F.lit(hi))).join(
+            own, "log_date", "left_semi"
+        )
+        keys = ["log_date", "log_id"]
+        rows = rows.join(ids.select(*keys), keys, "left_anti")
     _by_date(rows, dates).write.mode("append").partitionBy("log_date").parquet(path)
 
 
