@@ -226,7 +226,7 @@ def test_vector_search_and_logs_without_a_time(spark):
     queries = spark.createDataFrame(asked, "query_id long, query_vector array<double>, lo timestamp, hi timestamp")
     for some in (queries, queries.where("query_id > 1"), queries.where("query_id = 1")):
         found = {}
-        for r in vector_top_k(logs, some, 9).collect():
+        for r in vector_search.vector_top_k(logs, some, 9).collect():
             found.setdefault(r.query_id, set()).add(r.log_id)
         want = {1: {1, 2, 3}, 2: {2}, 3: {3}}
         assert found == {r.query_id: want[r.query_id] for r in some.collect()}
