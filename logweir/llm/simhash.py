@@ -24,6 +24,7 @@ like any other; a null id is larger than all others; repeated rows stay rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +39,29 @@ BITS = 64
 RADIUS = 3
 #: Variants that one group makes at most, about 16 bytes each.
 GROUP_VARIANTS = 2_000_000
+#: Stands for a null id where ids are compared.
+LAST = 2**63 - 1
 
 
-def fingerprint(text: bytes | None, words: int, seed: int) -> int:
-    """64 bits, each the majority of that bit in the XXH64 of all shingles of ``words`` words."""
+def shingle_hashes(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """The XXH64 of all shingles of ``words`` words, in their order."""
     parts = text.lower().split() if text else []  # bytes: only A-Z, and white space as in WORD
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
     spans = zip(starts[: len(parts) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], seed) for s, e in spans], np.dtype("<u8"))
+    return np.array([digest(line[s:e], seed) for s, e in spans], np.dtype("<u8"))
+
+
+def fingerprint(text: bytes | None, words: int, seed: int) -> int:
+    """64 bits, each the majority of that bit in the XXH64 of all shingles of ``words`` words."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         octets = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -233,13 +243,19 @@ def near_duplicates(
     return marked.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(
+    docs: DataFrame,
+    row_id: str = "doc_id",
+    text: str = "text",
+    groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates,
+) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, one row for each.
 
-    Of repeated rows of one id, one stays. A component of null ids only keeps one row.
+    ``groups`` gives the ``component_id`` of every ``id``. Of repeated rows of one id,
+    one stays. A component of null ids only keeps one row.
     """
-    last = F.lit(2**63 - 1)
-    found = near_duplicates(docs, row_id, text).select(
+    last = F.lit(LAST)
+    found = groups(docs, row_id, text).select(
         F.coalesce("id", last).alias("key"), F.coalesce("component_id", last).alias("first")
     )
     firsts = found.where(F.col("key") == F.col("first")).select("key").distinct()
