@@ -50,10 +50,32 @@ REPORTS = set(
     "said says say wrote writes told claims claimed quoted sagte sagt schrieb meinte dit disait"
     " écrit déclare dijo dice escribió afirma".split()
 )
-THREATS = set(
-    "kill hurt destroy stab shoot strangle murder töten umbringen schlagen tuer frapper détruire"
-    " matar golpear destruir".split()
-)
+# Verb stems and their endings, "-" for none. Forms that are common words of another of the
+# languages ("tue", "mate") or mostly nouns ("shot") are left out.
+_VERBS = {
+    "kill hurt murder": "- s ed ing",
+    "destroy strangl stab shoot": "- s e es ed ing bed bing",
+    "töt": "e est et en ete eten",
+    "umbring umzubring": "e st t en",
+    "schlag erschlag": "e en",
+    "tu": "er erai era eras erons eront é ée és ées",
+    "frapp": "er erai era erons eront e es é ée",
+    "détrui": "re rai ra rons ront s t",
+    "mat": "ar aré ará arás aremos arán o a an aron",
+    "golpe": "ar aré ará aremos arán o a an",
+    "destru": "ir iré irá iremos irán yo ye",
+}
+THREATS = {
+    stem + ending.strip("-") for stems, ends in _VERBS.items() for stem in stems.split() for ending in ends.split()
+} | set("getötet erschlägt schlägt schlug umgebracht".split())
+# Spanish infinitives and imperatives with the target at their end, "matarte".
+AIMED_THREATS = {
+    v + t
+    for v in "matar golpear destruir máta matándo".split()
+    for t in "te los las lo la le les os".split()
+}
+# Objects that come before the verb: "dich töten", "te tuer", "te voy a matar".
+OBJECTS = set("dich dir euch ihn ihm te t vous os".split())
 QUOTES = set("\"“”„«»")
 
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
@@ -78,21 +100,29 @@ class Transducer:
         return self.steps.get((state, symbol), (state, ""))
 
 
-# Symbols: I insult, H threat, T target, N negation, R reporting verb, Q quotation mark, O other.
+# Symbols: I insult, H threat, B threat with its target, T target, P target that may come before
+# its verb, N negation, R reporting verb, Q quotation mark, O other.
 INSULT = Transducer({(0, "I"): (0, "insult")})
-# A threat counts once it meets a target: "kill you", "I will hurt them".
-THREAT = Transducer({(0, "H"): (1, ""), (1, "T"): (0, "threat")})
+# A threat counts once it meets a target: "kill you", "I will hurt them", or has met an object up
+# to three words before (states 2 to 4): "ich werde dich töten", "te voy a matar".
+THREAT = Transducer(
+    {(0, "H"): (1, ""), (1, "T"): (0, "threat"), (1, "P"): (0, "threat")}
+    | {(s, "B"): (0, "threat") for s in range(5)}
+    | {(s, "P"): (4, "") for s in (0, 2, 3, 4)}
+    | {(s, x): (s - 1 if s > 2 else 0, "") for s in (2, 3, 4) for x in "OTINRQ"}
+    | {(s, "H"): (0, "threat") for s in (2, 3, 4)}
+)
 # An insult up to three words after a target is aimed.
 TARGET = Transducer(
-    {(s, "T"): (3, "") for s in range(4)}
-    | {(s, x): (s - 1, "") for s in range(1, 4) for x in "OHNRQ"}
+    {(s, x): (3, "") for s in range(4) for x in "TP"}
+    | {(s, x): (s - 1, "") for s in range(1, 4) for x in "OHBNRQ"}
     | {(s, "I"): (s - 1, "aimed") for s in range(1, 4)}
 )
-# Negation reaches three words far.
+# Negation reaches three words far, objects before the verb not counted: "no te voy a matar".
 NEGATION = Transducer(
     {(s, "N"): (3, "") for s in range(4)}
     | {(s, x): (s - 1, "") for s in range(1, 4) for x in "OTRQ"}
-    | {(s, x): (s - 1, "negated") for s in range(1, 4) for x in "IH"}
+    | {(s, x): (s - 1, "negated") for s in range(1, 4) for x in "IHB"}
 )
 # After a reporting verb or inside quotation marks, to the end of the clause.
 REPORT = Transducer(
@@ -104,6 +134,8 @@ REPORT = Transducer(
         (2, "I"): (2, "reported"),
         (1, "H"): (1, "reported"),
         (2, "H"): (2, "reported"),
+        (1, "B"): (1, "reported"),
+        (2, "B"): (2, "reported"),
     }
 )
 
@@ -114,7 +146,7 @@ def compose(machines: list[Transducer]) -> dict[tuple[int, str], tuple[int, froz
     number, todo, table = {start: 0}, [start], {}
     while todo:
         state = todo.pop()
-        for symbol in "IHTNRQO":
+        for symbol in "IHBTPNRQO":
             steps = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
             after = tuple(s for s, _ in steps)
             if after not in number:
@@ -133,7 +165,7 @@ def patterns(clause: str, insults: dict[int, str]) -> list[tuple[str | None, fro
 
     ``insults`` maps places where an insult's word begins to its stem.
     """
-    out, state = [], 0
+    out, state, verb = [], 0, frozenset()
     for token in TOKEN.finditer(clause):
         word, stem = token.group(), insults.get(token.start())
         symbol = (
@@ -141,10 +173,14 @@ def patterns(clause: str, insults: dict[int, str]) -> list[tuple[str | None, fro
             if stem is not None
             else "H"
             if word in THREATS
+            else "B"
+            if word in AIMED_THREATS
             else "N"
             if word in NEGATIONS
             else "R"
             if word in REPORTS
+            else "P"
+            if word in OBJECTS
             else "T"
             if word in TARGETS
             else "Q"
@@ -152,6 +188,10 @@ def patterns(clause: str, insults: dict[int, str]) -> list[tuple[str | None, fro
             else "O"
         )
         state, marks = GRAMMAR[state, symbol]
+        if symbol == "H":
+            verb = marks & {"negated", "reported"}
+        elif symbol in "TP" and "threat" in marks:
+            marks |= verb  # of the verb, which came before its target
         if "insult" in marks or "threat" in marks:
             out.append((stem, marks))
     return out
@@ -175,7 +215,7 @@ class Finder:
             # A whole word and a beginning may be spelled alike; the beginning covers both.
             if key not in self.automaton or not stem.endswith("$"):
                 self.automaton.add_word(key, (len(key), stem))
-        for word in THREATS:
+        for word in sorted(THREATS | AIMED_THREATS):
             if word not in self.automaton:
                 self.automaton.add_word(word, (len(word), ""))
         self.automaton.make_automaton()

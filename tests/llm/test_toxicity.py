@@ -26,6 +26,25 @@ def test_grammar_tells_patterns_apart():
     assert marks("not once in all long years an idiot", "idiot") == [{"insult"}]
 
 
+@pytest.mark.parametrize(
+    "threat, negated, reported",
+    [
+        ("i killed you", "i will not kill you", "he said i will kill you"),
+        ("ich werde dich töten", "ich werde dich nicht töten", "er sagte ich werde dich töten"),
+        ("je vais te tuer", "je ne vais pas te tuer", "il a dit je vais te tuer"),
+        ("te voy a matar", "no te voy a matar", "dijo que te voy a matar"),
+        ("voy a matarte", "no voy a matarte", "dijo voy a matarte"),
+        ("töte dich", "töte dich nicht selbst, nie töte dich", "sie schrieb töte dich"),
+    ],
+)
+def test_threats_of_all_languages(threat, negated, reported):
+    finder = Finder([])
+    assert [set(m) for _, m in finder.matches(threat)] == [{"threat"}]
+    assert {"threat", "negated"} in [set(m) for _, m in finder.matches(negated)]
+    assert [set(m) for _, m in finder.matches(reported)] == [{"threat", "reported"}]
+    assert finder.matches("i will kill time. ich töte. je vais tuer le temps. voy a matar el tiempo") == []
+
+
 def test_finder_takes_words_and_beginnings_in_their_clause():
     finder = Finder(["moron$", "lowei"])
     assert [s for s, _ in finder.matches("Morons. MORON! oxymoron; Loweiten, xlowei")] == ["moron$", "lowei"]
