@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import language, toxicity
+from logweir.llm.centroids import cluster
 from logweir.llm.divergence import judge
 from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
@@ -106,6 +107,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("id", "vec_id")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), carry=["vec_id"]).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -117,6 +124,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 OP4_SQL = r"""
@@ -168,8 +176,47 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+#: One round: every vector to its nearest centroid, then the floors of the means.
+OP13_ROUND = """
+near{i} AS MATERIALIZED (
+  SELECT row, v, norm, arg_min(c, (d, c)) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM (
+    SELECT row, vectors.v, norm, c, norm - 2 * list_inner_product(vectors.v, w) + list_inner_product(w, w) AS d
+    FROM vectors, cent{i}) GROUP BY row, v, norm),
+"""
+OP13_MOVE = """
+sum{i} AS (
+  SELECT cluster, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v)::BIGINT AS x, unnest(range(64)) AS place FROM near{i}) GROUP BY cluster, place),
+cent{j} AS MATERIALIZED (
+  SELECT c, CASE WHEN m.mean IS NULL THEN w ELSE m.mean END AS w FROM cent{i} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY place) AS mean FROM sum{i} GROUP BY cluster) m
+  ON m.cluster = c),
+"""
+OP13_SQL = (
+    """
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, v, list_inner_product(v, v) AS norm, row_number() OVER () AS row FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+cent0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY name) - 1 AS c, v AS w FROM (
+    SELECT sha256('2:' || vec_id) AS name, v FROM vectors ORDER BY name LIMIT 40)),
+"""
+    + "".join(OP13_ROUND.format(i=i) + OP13_MOVE.format(i=i, j=i + 1) for i in range(5))
+    + OP13_ROUND.format(i=5)
+    + """
+named AS (
+  SELECT c, sha256(array_to_string(list_transform(w, lambda x: CAST(x AS BIGINT)), ',')) AS sha FROM cent5)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM near5 JOIN vectors USING (row) JOIN named ON c = cluster
+"""
+)
+
 ORACLES = {
     "op4_line_dedup": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
