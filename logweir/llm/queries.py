@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweir.llm import language, toxicity
 from logweir.llm.centroids import cluster
+from logweir.llm.disclosure import KINDS, private_spans
 from logweir.llm.divergence import judge
 from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
@@ -107,6 +108,22 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("id", "vec_id")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_spans(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    kinds = (*KINDS, "term")
+    named = F.transform(
+        "spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    )
+    base = F.filter(named, lambda s: ~s.startswith("term:"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
+        F.concat_ws(",", named).alias("spans"),
+    )
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"), carry=["vec_id"]).select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
@@ -124,6 +141,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op12_pii": op12_pii,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
