@@ -13,6 +13,7 @@ from logweir.llm.impact_topk import index_rows, top_k
 from logweir.llm.line_dedup import dedup_lines
 from logweir.llm.mixing import mix
 from logweir.llm.pieces import Pieces, encode
+from logweir.llm.range_max import rank
 from logweir.llm.rows import table
 from logweir.llm.simhash import near_duplicates
 from logweir.llm.warc import round_trip
@@ -108,6 +109,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("id", "vec_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return rank(documents, items).withColumnRenamed("id", "doc_id")
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_spans(table(spark, sf_dir, "documents"), carry=["doc_id"])
     kinds = (*KINDS, "term")
@@ -141,6 +147,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_lexical_search": op11_lexical_search,
     "op12_pii": op12_pii,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
@@ -194,6 +201,34 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS row FROM documents)),
+sizes AS (SELECT row, doc_id, count(*) AS n FROM words GROUP BY row, doc_id),
+everything AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)),
+counts AS (
+  SELECT row, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, everything GROUP BY term),
+scored AS (
+  SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) //
+    (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (row), everything
+  GROUP BY item_id, row, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 #: One round: every vector to its nearest centroid, then the floors of the means.
 OP13_ROUND = """
 near{i} AS MATERIALIZED (
@@ -236,5 +271,6 @@ ORACLES = {
     "op4_line_dedup": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op13_centroid_clustering": OP13_SQL,
 }
