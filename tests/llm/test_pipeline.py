@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline
 from logweir.llm.simhash import near_duplicates
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute as brute_copies
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -18,9 +20,7 @@ def test_stages_against_brute_force(spark, sf):
             want = {i: (t, len(t)) for i, t, _, _ in brute_lines(rows)}
             assert got == want
         else:
-            order = sorted(rows)
-            label = brute_components([brute_fingerprint(t) for _, t in order])
-            assert set(got) == {i for k, (i, _) in enumerate(order) if label[k] == k}
+            assert set(got) == {i for i, first in brute_copies(rows).items() if i == first}
         docs = spark.createDataFrame(out.collect(), docs.schema)
         rows = [(r.doc_id, r.text) for r in docs.collect()]
     mixed = corpus_pipeline.mixing(spark, docs, sf)
@@ -31,6 +31,20 @@ def test_stages_against_brute_force(spark, sf):
     assert max(copies.values()) <= 3 and set(copies) <= {i for i, _ in rows}
 
 
+def test_language_rejects_long_texts_of_other_scripts_and_keeps_short_ones(spark, sf):
+    random.seed(1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    letters = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5200)))]
+    text = lambda a: " ".join("".join(random.choices(a, k=random.randint(2, 9))) for _ in range(60))
+    foreign = [(10**9 + i, text(letters[i % 3]), None, "x", 0) for i in range(90)]
+    short = [(2 * 10**9 + i, t, None, "x", 0) for i, t in enumerate(["Avec.", "A.", "Die tz.", "Re."])]
+    more = docs.unionByName(spark.createDataFrame(foreign + short, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, more, sf).collect()}
+    assert not kept & {r[0] for r in foreign} and {r[0] for r in short} <= kept
+    judged = docs.where("length(regexp_replace(text, '[^\\\\p{L}]', '')) > 0")
+    assert {r.doc_id for r in judged.collect()} <= kept
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "ids", "n_pieces", "lossless"]
