@@ -51,8 +51,26 @@ def test_templates_equal_sequential_clustering(spark):
     assert got == _sequential(messages)
 
 
-def test_templates_do_not_depend_on_the_block(spark, monkeypatch):
-    """Every leaf, also that of unlike messages, is larger than a block."""
+def _unlike(seed, n=14):
+    """Messages of one leaf with few words of an alphabet: who meets whom decides every template."""
+    rng = np.random.default_rng(seed)
+    words = np.array(list("abcdefgh"))
+    some = [" ".join(["run", *rng.choice(words, 5, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05])]) for _ in range(n)]
+    return list(dict.fromkeys(some))
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_templates_do_not_depend_on_the_block(spark, monkeypatch, block):
+    """Few messages a block and a task, at ids beyond 2^53: each leaf equals one-by-one clustering."""
+    monkeypatch.setattr(templates, "PLACED_AT_ONCE", 20)
+    for messages in (["run a b p q r", "run a b s t u", "run x x c d e", "run a b c d e"], _unlike(block)):
+        ids = [2**60 + i for i in range(len(messages))]
+        rows = spark.createDataFrame(list(zip(ids, messages)), "log_id long, message string").repartition(3)
+        found = templates.mine_templates(templates.distinct_messages(rows), block=block)
+        assert {r.message: r.template for r in found.collect()} == _sequential(messages)
+
+
+def test_templates_of_families_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(templates, "PLACED_AT_ONCE", 30)
     messages = _messages()
     rows = spark.createDataFrame(list(enumerate(messages)), "log_id long, message string")
@@ -60,6 +78,16 @@ def test_templates_do_not_depend_on_the_block(spark, monkeypatch):
     assert {r.message: r.template for r in found.collect()} == _sequential(messages)
 
 
+def test_templates_in_two_calls_equal_one(spark):
+    messages = _unlike(5)
+    rows = spark.createDataFrame([(m, i) for i, m in enumerate(messages)], "message string, first_id long")
+    _, state = templates.grow_templates(rows.where("first_id < 6"), block=9)
+    _, after = templates.grow_templates(rows.where("first_id >= 6"), state, block=9)
+    _, whole = templates.grow_templates(rows)
+    of = lambda df: sorted((r.place, r.tokens) for r in df.collect())
+    assert of(after) == of(whole)
+
+
 def test_templates_go_on_from_a_kept_state(spark):
     many = [f"order {i} of user u{i} placed" for i in range(40)]
     later = ["order 50 of user u0 placed", "order 51 of user u9 shipped", "something else entirely here now"]
