@@ -176,8 +176,9 @@ def _guessed(group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         for first, message, tokens in zip(group["first_id"], group["message"], group["tokens"], strict=True):
             row, changed = leaf.take(leaf.codes(tokens))
             out.append((first, message, tokens, leaf.places[row], leaf.named(row) if changed else None))
-    found = pd.DataFrame(out, columns=["first_id", "message", "tokens", "place", "put"])
-    found["first_id"] = found["first_id"].astype(object)
+    # Columns of objects: ids beside None would become floats.
+    found = pd.DataFrame(out, columns=["first_id", "message", "tokens", "place", "put"], dtype=object)
+    found["place"] = found["place"].astype("int32")
     return found.assign(n_tokens=int(some["n_tokens"].iloc[0]), head=some["head"].iloc[0])
 
 
