@@ -78,10 +78,6 @@ def _canonical(name: Column) -> Column:
     return F.when(name.isin(*_RENAMED), F.try_element_at(names, name)).otherwise(name)
 
 
-#: Levels of nested containers in which two names of one meaning are merged.
-MERGED_LEVELS = 2
-
-
 def rename_nested(json: Column) -> Column:
     """Canonical names inside a nested JSON text, at any depth.
 
@@ -92,7 +88,7 @@ def rename_nested(json: Column) -> Column:
     def renamed(names: Column) -> Column:
         meanings = F.array_distinct(F.transform(names, _canonical))
         replaced = _replaced(json, names)
-        merged = F.coalesce(_merged(json, MERGED_LEVELS), replaced)
+        merged = F.coalesce(_merged(json), replaced)
         return F.when(F.size(meanings) < F.size(names), merged).otherwise(replaced)
 
     return let(_names_in(json), renamed)
@@ -118,39 +114,87 @@ def _is_container(kind: Column) -> Column:
     return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
 
 
-def _merged(json: Column, levels: int) -> Column:
-    """Canonical names with values of one meaning merged, in objects and lists of objects.
+_STRING, _BRACKET, _SCALAR = r'"[^"]*+"(?:[ \t\r\n]*+:)?', r"[\[\]{}]", r'[^ \t\r\n\[\]{}:,"]++'
+_TOKEN = f"{_STRING}|{_BRACKET}|{_SCALAR}"
+#: Stand for an escaped backslash and an escaped quote while a text is taken apart.
+_BACKSLASH, _QUOTE = "\ufdd2", "\ufdd3"
+
 
-    Containers are read twice: as text, which keeps the order of names, and with
-    the types of their values.
+def _merged(json: Column) -> Column:
+    """Canonical names with values of one meaning merged, in objects at any depth.
+
+    One pass over the tokens with a stack of open containers, each with the entries
+    found so far. A closed container becomes one value of the container around it.
+    Lists right inside a list stay as they are, with all they hold. NULL where
+    brackets do not match.
     """
+    hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    tokens = F.regexp_extract_all(hidden, F.lit(f"({_TOKEN})"), 1)
 
-    def value(text: Column, typed: Column) -> Column:
-        inner = _replaced(text, _names_in(text))
-        if levels > 1:
-            inner = F.coalesce(_merged(text, levels - 1), inner)
-        return F.when(_is_container(F.schema_of_variant(typed)), inner).otherwise(F.to_json(typed))
+    def container(kind: Column, name: Column, kept: Column, entries: Column) -> Column:
+        return F.struct(
+            kind.alias("kind"), name.alias("name"), kept.alias("kept"), entries.alias("entries")
+        )
 
-    def named(entry: Column, typed: Column) -> Column:
-        return F.struct(entry["key"].alias("k"), value(entry["value"], typed).alias("v"))
+    none = F.lit(None).cast("string")
+    no_entries = F.array().cast(_ENTRIES)
+
+    def with_value(stack: Column, depth: Column, value: Column) -> Column:
+        """The lowest ``depth`` containers, the last of them with one entry more."""
+        return let(
+            F.get(stack, depth - 1),
+            lambda top: F.concat(
+                F.slice(stack, F.lit(1), depth - 1),
+                F.array(
+                    container(
+                        top["kind"],
+                        none,
+                        top["kept"],
+                        F.array_append(
+                            top["entries"],
+                            F.struct(F.coalesce(top["name"], F.lit("")).alias("k"), value.alias("v")),
+                        ),
+                    )
+                ),
+            ),
+        )
 
-    texts = F.map_entries(F.from_json(json, "map<string,string>"))
-    types = F.map_values(F.from_json(json, "map<string,variant>"))
-    merged = F.map_entries(let(F.zip_with(texts, types, named), _to_map))
-    pairs = F.transform(
-        merged, lambda e: F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), e["value"])
-    )
-    # A list may hold objects, which are merged; lists right inside it stay as they are.
-    items = F.zip_with(
-        F.from_json(json, "array<string>"),
-        F.from_json(json, "array<variant>"),
-        lambda text, typed: F.when(
-            F.startswith(F.schema_of_variant(typed), F.lit("ARRAY")), text
-        ).otherwise(value(text, typed)),
-    )
-    return F.when(
-        F.startswith(json, F.lit("{")), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    ).otherwise(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    def closed(top: Column) -> Column:
+        entries = F.when(top["kept"], top["entries"]).otherwise(
+            F.map_entries(_to_map(top["entries"])).cast(_ENTRIES)
+        )
+        pairs = F.transform(
+            entries, lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["v"])
+        )
+        items = F.transform(top["entries"], lambda e: e["v"])
+        return F.when(
+            top["kind"] == "{", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        ).otherwise(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+
+    def step(stack: Column, token: Column) -> Column:
+        top, depth = F.element_at(stack, -1), F.size(stack)
+        inner_list = (top["kind"] == "[") & (token == "[")
+        opened = container(token, none, top["kept"] | inner_list, no_entries)
+        named = container(
+            top["kind"], F.split_part(token, F.lit('"'), F.lit(2)), top["kept"], top["entries"]
+        )
+        return (
+            F.when(token.isin("{", "["), F.array_append(stack, opened))
+            .when(token.isin("}", "]"), with_value(stack, depth - 1, closed(top)))
+            .when(
+                F.endswith(token, F.lit(":")),
+                F.concat(F.slice(stack, F.lit(1), depth - 1), F.array(named)),
+            )
+            .otherwise(with_value(stack, depth, token))
+        )
+
+    def plain(stack: Column) -> Column:
+        text = F.get(stack[0]["entries"], F.lit(0))["v"]
+        shown = F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        return F.when(F.size(stack) == 1, shown)
+
+    ground = F.array(container(F.lit(""), none, F.lit(False), no_entries))
+    return F.aggregate(tokens, ground, step, plain)
 
 
 def _json_entries(line: Column) -> Column:

@@ -1,13 +1,15 @@
 """Line fixtures, field by field."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.functions.text import expand_abbreviations
 from logweir.functions.timestamps import log_timestamp
-from logweir.operators.parse import parse_logs, parse_with_format, split_prefix
+from logweir.operators.parse import parse_logs, parse_with_format, rename_nested, split_prefix
+from logweir.schema import FIELD_NAMES
 
 NOW = dt.datetime(2030, 1, 1)
 TRACE = "b2c3d4e5-6789-01ab-cdef-2345678901bc"
@@ -254,3 +256,34 @@ def test_only_containers_are_renamed_inside(spark):
     assert [r.message for r in rows[:2]] == ['{"status": 5}', '[warn] "user": bad']
     assert rows[2].order_lines == '[{"amount":2},3,"x"]'
     assert rows[2].attrs["o"] == '{"amount":1.5,"k":{"amount":"b"}}'
+
+
+def _renamed_in_python(value, lists=0):
+    """Names made canonical by plain recursion; a list inside a list stays."""
+    if isinstance(value, dict):
+        out = {}
+        for name, inner in value.items():
+            out[FIELD_NAMES.get(name, name)] = _renamed_in_python(inner)
+        return out
+    if isinstance(value, list) and not lists:
+        return [_renamed_in_python(v, 1) for v in value]
+    return value
+
+
+def test_names_of_one_meaning_merge_at_any_depth(spark):
+    deep = {"price": 1, "total": 2, "note": 'a "q", {b}: \\ [c]', "none": None, "on": True}
+    values = [
+        [{"a": {"b": {"price": 1, "total": 2}}}],
+        {"total": 1.5, "x": [{"price": -2e-3, "y": {}}, [], {"total": "t", "price": deep}]},
+        {"price": 1, "total": [[{"price": 1, "total": 2}], {"price": 3, "total": 4}]},
+    ]
+    for _ in range(9):
+        deep = {"total": 0, "price": {"inner": [deep, 7]}}
+    values.append({"price": 1, "total": deep})
+    rows = [(i, json.dumps(v)) for i, v in enumerate(values)]
+    rows += [(8, '{"price":1,"total":2,"price":3}'), (9, None), (10, "{}")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: r.t for r in df.select("id", rename_nested(F.col("t")).alias("t")).collect()}
+    for i, value in enumerate(values):
+        assert json.dumps(json.loads(got[i])) == json.dumps(_renamed_in_python(value))
+    assert (got[8], got[9], got[10]) == ('{"amount":2}', None, "{}")
