@@ -16,7 +16,7 @@ from logweir.functions.vectors import embed
 from logweir.operators.lexical_search import lexical_top_k
 from logweir.operators.vector_search import vector_top_k
 from logweir.schema import LOG_SCHEMA
-from logweir.session import is_small, settle, top_k_per_group
+from logweir.session import is_small, join_on_hot_keys, settle, top_k_per_group
 
 #: What a hit shows: the stored record without vector and template.
 CONTENT = sorted(
@@ -88,28 +88,55 @@ def token_rows(queries: DataFrame) -> DataFrame:
     )
 
 
+def _in_ranges(logs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(query_id, log_id, timestamp)`` of the logs inside each inclusive ``lo`` to ``hi``.
+
+    Days fall in blocks of 2^level of them. A range takes the lowest level at which it
+    touches at most two blocks, so it is one or two rows whatever its length; a log has one
+    block on each level in use, of which there are no more than bits in a number of days.
+    Days outside of all ranges are left out at the scan, as whole partitions where the
+    logs have ``log_date``. A range that ends before it starts holds nothing.
+    """
+    day = lambda time: F.unix_date(F.to_date(time))
+    apart = day("hi") - day("lo")
+    level = F.when(apart == 0, 0).otherwise(F.length(F.bin(apart))).cast("int")
+    block = lambda number: F.call_function("shiftright", number, F.col("level"))
+    blocks = F.array_distinct(F.array(block(day("lo")), block(day("hi"))))
+    ranges = (
+        ranges.where(F.col("lo") <= F.col("hi"))
+        .withColumn("level", level)
+        .select("query_id", "lo", "hi", "level", F.explode(blocks).alias("block"))
+    )
+    asked = ranges.agg(F.min("lo"), F.max("hi"), F.sort_array(F.collect_set("level"))).first()
+    first, last, levels = asked
+    inside = F.col("timestamp").between(F.lit(first), F.lit(last))
+    if "log_date" in logs.columns:
+        inside &= F.col("log_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+    placed = (
+        logs.where(inside)
+        .select(
+            "log_id",
+            "timestamp",
+            F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"),
+        )
+        .withColumn("block", block(day("timestamp")))
+    )
+    return (
+        join_on_hot_keys(placed, ranges, ["level", "block"], "log_id")
+        .where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
+        .select("query_id", "log_id", "timestamp")
+    )
+
+
 def _newest_hits(logs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Hits of queries without tokens: by date range alone, or simply the newest logs.
 
-    A range is joined day by day on the date of the log.
+    Ranges are joined with logs by blocks of days, see ``_in_ranges``.
     """
     newest = [F.col("timestamp").desc(), F.col("log_id").asc()]
     bare = queries.where(F.size("tokens") == 0)
     ranged = bare.where(F.col("lo").isNotNull())
-    days = ranged.select(
-        "query_id",
-        "lo",
-        "hi",
-        F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day"),
-    )
-    if is_small(days):
-        days = F.broadcast(days)
-    dated = (
-        logs.select("log_id", "timestamp", F.to_date("timestamp").alias("day"))
-        .join(days, "day")
-        .where(F.col("timestamp").between(F.col("lo"), F.col("hi")))
-        .select("query_id", "log_id", "timestamp", F.lit(0.0).alias("score"))
-    )
+    dated = _in_ranges(logs, ranged).withColumn("score", F.lit(0.0))
     dated = top_k_per_group(dated, ["query_id"], newest, k, spread="log_id", rank="pos")
     top = (
         logs.select("log_id", "timestamp")

@@ -634,3 +634,9 @@ ORACLES["parse_json_lookalikes"] = """
 select event_id as log_id, '{"status": ' || user_id || '}' as message,
   '[{"amount":' || event_id || '}]' as order_lines from events
 """
+
+ORACLES["parse_nested_names"] = """
+select event_id as log_id,
+  '[{"a":{"b":[{"c":{"amount":' || user_id || ',"d":{"amount":' || event_id || '}}}]}}]' as order_lines
+from events
+"""

@@ -712,6 +712,21 @@ def parse_json_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_logs(lines).select("log_id", "message", "order_lines")
 
 
+@query
+def parse_nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one meaning become one at any depth of a nested value."""
+    line = F.format_string(
+        '{"time": "%s", "items": [{"a": {"b": [{"c": {"price": 1, "d": {"price": 2, "total": %d}, "total": %d}}]}}]}',
+        F.date_format("ts", TS_TEXT),
+        F.col("event_id").cast("long"),
+        F.col("user_id").cast("long"),
+    )
+    lines = spread_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("log_id"), F.lit("f.log").alias("file_name"), line.alias("line")
+    )
+    return parse.parse_logs(lines).select("log_id", "order_lines")
+
+
 # -- ingest ------------------------------------------------------------------
 
 

@@ -239,3 +239,30 @@ def test_bucket_flags(spark):
     logs = spark.createDataFrame(rows, "timestamp timestamp, score double")
     flagged = flag_buckets(bucket_means(logs, "score")).where("anomalous").collect()
     assert [r.bucket for r in flagged] == [start + dt.timedelta(minutes=100)]
+
+
+def test_ranges_are_blocks_of_days_and_prune_dates(spark, tmp_path):
+    start = dt.datetime(1969, 12, 25, 13)
+    logs = [(i, start + dt.timedelta(hours=31 * i)) for i in range(400)] + [(900, None)]
+    table = spark.createDataFrame(logs, "log_id long, timestamp timestamp").withColumn(
+        "log_date", F.to_date("timestamp")
+    )
+    table.write.partitionBy("log_date").parquet(f"{tmp_path}/logs")
+    stored = spark.read.schema(table.schema).parquet(f"{tmp_path}/logs")
+    day = lambda *d: dt.datetime(*d)
+    ranges = [
+        (1, day(1950, 1, 1), day(1980, 1, 1)),
+        (2, day(1970, 1, 1), day(1970, 1, 1, 23)),
+        (3, day(1969, 12, 31, 20), day(1970, 1, 2, 1)),
+        (4, day(1970, 3, 1), day(1970, 2, 1)),
+        (5, day(1970, 1, 8), day(1970, 1, 8, 0, 0, 1)),
+        (6, logs[7][1], logs[7][1]),
+        (7, day(1970, 2, 1), day(1970, 5, 20)),
+    ]
+    asked = spark.createDataFrame(ranges, "query_id long, lo timestamp, hi timestamp")
+    got = {(r.query_id, r.log_id) for r in retrieval._in_ranges(stored, asked).collect()}
+    assert got == {(q, i) for q, lo, hi in ranges for i, at in logs if at and lo <= at <= hi}
+    few = retrieval._in_ranges(stored, asked.where("query_id = 2"))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "log_date" in plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert retrieval._in_ranges(stored, asked.where("query_id = 4")).isEmpty()
