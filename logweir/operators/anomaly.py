@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions.vectors import let, magnitude
 from logweir.operators.features import HELPER_COLUMNS, MAX_TERMS, fit_tfidf, terms_of, tfidf
-from logweir.session import join_on_hot_keys, settle, top_k_per_group
+from logweir.session import join_on_hot_keys, settle, shuffle_parts, top_k_per_group
 
 # Least training rows, contamination, trees, sample, seed, components.
 MIN_ROWS = 20
@@ -268,6 +268,10 @@ def split_train_test(df: DataFrame, row_id: str, parts: int = 5) -> tuple[DataFr
     return df.where(~test), df.where(test)
 
 
+#: Events of one run of a history, about; a key with more has several runs.
+RUN_ROWS = 1_000_000
+
+
 def with_history(
     events: DataFrame,
     key: str,
@@ -275,15 +279,22 @@ def with_history(
     row_id: str,
     event: str,
     h: int = 2,
-    span: str = "DAY",
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Add ``history``: the ``h`` events before each one of the same key, oldest first.
 
-    The window runs inside (key, time span), so a key with a third of all rows
-    is spread over its spans. What a span needs from before it, at most ``h``
-    events, comes from the last events of the spans before.
+    Events are partitioned by ranges of (key, time, id), and a key's events in one
+    partition are a run. The window stays inside a run, so a key with a third of all rows
+    takes many tasks even where all have one time. What a run needs from before it, at most
+    ``h`` events, comes from the last events of the runs before. The runs are written once,
+    as ranges come from a sample and must not be drawn again.
     """
-    spans = events.withColumn("_span", F.date_trunc(span, F.col(ts)))
+    parts = max(shuffle_parts(events.sparkSession), -(-events.count() // run_rows))
+    spans = settle(
+        events.repartitionByRange(parts, key, ts, row_id).withColumn(
+            "_span", F.spark_partition_id()
+        )
+    )
     inside = Window.partitionBy(key, "_span").orderBy(ts, row_id)
     local = spans.withColumn(
         "_before", F.collect_list(event).over(inside.rowsBetween(-h, -1))

@@ -269,6 +269,18 @@ def test_history_of_a_hot_key(spark):
             assert got[r[0]] == kinds[max(0, i - 3) : i]
 
 
+@pytest.mark.parametrize("h", [1, 4])
+def test_history_of_a_key_with_one_time(spark, h):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 9 else i, at, "abcdefg"[i * i % 7]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, user int, ts timestamp, kind string").repartition(5)
+    found = anomaly.with_history(df, "user", "ts", "id", "kind", h=h, run_rows=3)
+    got = {r.id: r.history for r in found.collect()}
+    hot = [r for r in rows if r[1] == 1]
+    assert [got[r[0]] for r in hot] == [[x[3] for x in hot[max(0, i - h) : i]] for i in range(len(hot))]
+    assert all(got[i] == [] for i in range(0, 300, 9))
+
+
 def test_sequence_anomalies_find_a_strange_step(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, 1, start + dt.timedelta(minutes=i), "abc"[i % 3]) for i in range(300)]
