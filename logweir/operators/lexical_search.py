@@ -29,7 +29,7 @@ def _range(tokens: DataFrame) -> list[str]:
     return ["lo", "hi"] if {"lo", "hi"} <= set(tokens.columns) else []
 
 
-def _carried(logs: DataFrame, tokens: DataFrame) -> list[str]:
+def carried_columns(logs: DataFrame, tokens: DataFrame) -> list[str]:
     return ["timestamp"] if _range(tokens) and "timestamp" in logs.columns else []
 
 
@@ -77,7 +77,7 @@ def _bm25_idf() -> Column:
 
 
 def _text_hits(logs: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
-    carried = _carried(logs, tokens)
+    carried = carried_columns(logs, tokens)
     asked = query_words(tokens)
     texts = _texts(logs, carried)
     sizes = texts.groupBy("field").agg(
@@ -104,6 +104,17 @@ def _text_hits(logs: DataFrame, tokens: DataFrame, small: bool) -> DataFrame:
         .groupBy("field", "word", "log_id", *carried, "length")
         .agg(F.collect_list("position").alias("positions"))
     )
+    return text_scores(seen, sizes, asked, carried, small)
+
+
+def text_scores(
+    seen: DataFrame, sizes: DataFrame, asked: DataFrame, carried: list[str], small: bool
+) -> DataFrame:
+    """Scores of phrases from the postings ``seen`` of their words.
+
+    ``seen`` has a row per field, word and log with ``length`` and ``positions``;
+    ``sizes`` has ``docs`` and ``mean_length`` of each field.
+    """
     df = seen.groupBy("field", "word").agg(F.count(F.lit(1)).alias("df"))
     word_idf = df.join(F.broadcast(sizes), "field").select(
         "field", "word", _bm25_idf().alias("idf"), "mean_length"
@@ -150,7 +161,7 @@ def _keyword_hits(logs: DataFrame, tokens: DataFrame, small: bool) -> DataFrame
     names = _fields(logs, KEYWORD_FIELDS)
     if not names:
         return None
-    carried = _carried(logs, tokens)
+    carried = carried_columns(logs, tokens)
     values = (
         logs.select(
             "log_id",
@@ -165,6 +176,13 @@ def _keyword_hits(logs: DataFrame, tokens: DataFrame, small: bool) -> DataFrame
         .where(F.col("token").isNotNull())
     )
     docs = values.groupBy("field").agg(F.count(F.lit(1)).alias("docs"))
+    return keyword_scores(values, docs, tokens, carried, small)
+
+
+def keyword_scores(
+    values: DataFrame, docs: DataFrame, tokens: DataFrame, carried: list[str], small: bool
+) -> DataFrame:
+    """Scores of tokens that are whole values; ``docs`` counts the values of each field."""
     hits = join_on_hot_keys(values, tokens, ["token"], "log_id", small_known=small)
     df = hits.groupBy("query_id", "token_no", "field").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(F.broadcast(docs), "field").select(
@@ -188,6 +206,11 @@ def lexical_hits(logs: DataFrame, tokens: DataFrame) -> DataFrame:
     exact = _keyword_hits(logs, tokens, small)
     if exact is not None:
         hits = hits.unionByName(exact)
+    return summed(hits)
+
+
+def summed(hits: DataFrame) -> DataFrame:
+    """The best field of each token, summed over the tokens of a query."""
     best = hits.groupBy("query_id", "token_no", "log_id").agg(F.max("score").alias("score"))
     return best.groupBy("query_id", "log_id").agg(F.round(F.sum("score"), 9).alias("score"))
 

@@ -318,6 +318,10 @@ select query_id, row_number() over (partition by query_id order by score desc, l
 from scores qualify rank <= 20
 """
 
+ORACLES["indexed_phrases"] = ORACLES["phrase_any_token"]
+
+ORACLES["indexed_bm25"] = ORACLES["lexical_bm25"]
+
 ORACLES["hash_embeddings"] = """
 with codes as (
   select conv_id, turn, text, range(0, 384) as cells,

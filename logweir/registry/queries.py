@@ -17,6 +17,7 @@ from logweir.operators import anomaly, features, parse, reports, similar, templa
 from logweir.operators.lexical_search import lexical_hits, lexical_top_k
 from logweir.operators.lookup import lookup_or_compute, report_lookup
 from logweir.operators.vector_search import vector_top_k
+from logweir.operators.word_index import append_index, index_hits, index_top_k
 from logweir.plans import answers, retrieval
 from logweir.session import prepare, scratch, settle
 from logweir.sources.files import scan_log_dir, with_log_ids
@@ -371,6 +372,32 @@ def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def indexed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = spark.createDataFrame(ORDER_TOKENS, "query_id long, token_no int, token string")
+    path = scratch(spark)
+    append_index(order_logs(spark, sf_dir), path)
+    return index_hits(spark, path, tokens).select("query_id", "log_id")
+
+
+@query
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index takes the documents of one language, then all; known ones stay as they are."""
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang").selectExpr(
+        "doc_id as log_id", "text as message", "lang"
+    )
+    tokens = spark.createDataFrame(WORD_TOKENS, "query_id long, token_no int, token string")
+    path = scratch(spark)
+    append_index(docs.where("lang = 'en'"), path)
+    append_index(docs, path)
+    return index_top_k(spark, path, tokens, 20).select(
+        "query_id",
+        F.col("rank").cast("long").alias("rank"),
+        "log_id",
+        F.round("score", 6).alias("score"),
+    )
+
+
 @query
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spread_table(spark, sf_dir, "conversations").select(

@@ -14,6 +14,7 @@ from logweir.operators.anomaly import Detector
 from logweir.operators.parse import parse_logs, to_log_schema
 from logweir.operators.reports import anomalies, bucket_means
 from logweir.operators.templates import STATE, attach_templates, grow_templates, latest_state, named
+from logweir.operators.word_index import append_index
 from logweir.schema import ANOMALY_THRESHOLD, VECTOR_DIM
 from logweir.session import settle
 from logweir.sources.files import stream_log_dir, with_log_ids
@@ -79,9 +80,12 @@ def ingest_batch(
     detector: Detector | None = None,
     model: Callable[[Column], Column] | None = None,
     threshold: float = ANOMALY_THRESHOLD,
+    index: str | None = None,
 ) -> None:
     """Write one batch; running it again changes nothing.
 
+    ``index`` is the folder of a word index that takes the new logs too.
+
     Times that cannot be read become the time of the file, so they are equal
     on every run.
     """
@@ -90,6 +94,8 @@ def ingest_batch(
     named = with_templates(records, templates, F.current_timestamp())
     rows = settle(to_log_schema(named))
     append_logs(rows, table)
+    if index is not None:
+        append_index(rows, index)
     alert = anomalies(rows, threshold).select(
         "log_id", "timestamp", "level", "source", "message", "anomaly_score"
     )
@@ -109,11 +115,12 @@ def start_ingest(
     archive: str | None = None,
     every: str | None = "40 seconds",
     files_per_batch: int | None = None,
+    index: str | None = None,
 ) -> StreamingQuery:
     """Watch ``path`` for new log files; ``every=None`` takes what is there and stops."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        ingest_batch(lines, table, templates, alerts, detector, model)
+        ingest_batch(lines, table, templates, alerts, detector, model, index=index)
 
     lines = stream_log_dir(spark, path, files_per_batch, archive)
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
