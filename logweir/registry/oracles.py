@@ -218,6 +218,22 @@ select strftime(time_bucket(interval '5 minutes', events.ts), '%Y-%m-%d %H:%M:%S
 from events group by 1
 """
 
+ORACLES["bucket_mean_append"] = """
+with seen as (
+  select ts, value, time_bucket(interval '5 minutes', ts) as bucket,
+    coalesce(ts < timestamp '2024-01-16' and event_type <> 'error', false) as early
+  from events where ts is not null),
+closed as (
+  select max(ts) filter (where early) - interval '10 minutes' as first_cut,
+    max(ts) - interval '10 minutes' as last_cut
+  from seen)
+select strftime(bucket, '%Y-%m-%d %H:%M:%S') as ts, round(avg(value), 9) as mean, count(*) as count
+from seen, closed
+where (early or bucket + interval '5 minutes' > first_cut)
+  and bucket + interval '5 minutes' <= last_cut
+group by bucket
+"""
+
 ORACLES["query_understanding"] = rf"""
 with asked as (
   select o_orderkey as query_id, 'why did ORD' || o_orderkey || ' of cust' || o_custkey ||
