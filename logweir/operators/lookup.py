@@ -21,8 +21,8 @@ def lookup_or_compute(
     """``(logs with value, new (key, value) rows)``.
 
     ``compute`` gets one row per distinct missing key and returns ``(key,
-    value)``. A stored value wins over a new one. Hot messages are spread when
-    the values do not fit a broadcast.
+    value)``. A stored value wins over a new one. Values may be wide, so beyond
+    a broadcast they are not copied: the adaptive plan splits hot messages.
     """
     wanted = logs.where(F.col(key).isNotNull()).select(key).distinct()
     missing = wanted if stored is None else wanted.join(stored.select(key), key, "left_anti")
@@ -30,7 +30,7 @@ def lookup_or_compute(
     known = fresh
     if stored is not None:
         known = stored.select(key, value).join(wanted, key, "left_semi").unionByName(fresh)
-    return join_on_hot_keys(logs, known, [key], spread, how="left"), fresh
+    return join_on_hot_keys(logs, known, [key], spread, how="left", salts=1), fresh
 
 
 def first_stored(stored: DataFrame, key: str) -> DataFrame:

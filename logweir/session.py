@@ -98,13 +98,19 @@ def join_on_hot_keys(
     bound the key is salted, the small side being copied once per salt, so one
     key that holds a third of the rows is still spread over ``salts`` tasks.
     ``spread`` names a column of ``big`` that tells rows of one key apart;
-    ``small_known`` passes on a check made before.
+    ``small_known`` passes on a check made before. With one salt nothing is copied
+    and hot keys are left to the adaptive plan, which suits a side of wide rows.
+
+    A side that was found too large is never broadcast: Spark takes an array for
+    one element and a text for 20 bytes, so its own estimate may be far too low.
     """
     if is_small(small) if small_known is None else small_known:
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:
+        return big.join(small.hint("merge"), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def top_k_per_group(

@@ -34,6 +34,18 @@ def test_salted_join(spark, skewed, how):
     assert sorted(salted.collect(), key=key) == sorted(plain.collect(), key=key)
 
 
+@pytest.mark.parametrize("salts", [1, 16])
+def test_a_side_found_too_large_is_not_broadcast_by_estimate(spark, skewed, salts, capsys):
+    wide = spark.createDataFrame([(i, "x") for i in range(50)], "key int, name string").withColumn(
+        "vector", F.array_repeat(F.lit(1.0), 384)
+    )
+    joined = join_on_hot_keys(skewed, wide, ["key"], "id", "left", salts=salts, small_known=False)
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert joined.count() == 3000 and set(joined.columns) == {*skewed.columns, "name", "vector"}
+
+
 def test_is_small_counts_rows_and_bytes(spark):
     df = spark.range(10).withColumn("t", F.repeat(F.lit("x"), 1000))
     assert is_small(df, rows=10)
