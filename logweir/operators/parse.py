@@ -413,14 +413,15 @@ def parse_logs(
     )
 
 
-def to_log_schema(records: DataFrame) -> DataFrame:
-    """Exactly the columns of the log table, in order and type; missing ones are NULL."""
+def to_log_schema(records: DataFrame, *more: str) -> DataFrame:
+    """Exactly the columns of the log table, in order and type; missing ones are NULL. ``more`` come last."""
     present = set(records.columns)
     return records.select(
         *[
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in LOG_SCHEMA
-        ]
+        ],
+        *more,
     )
 
 

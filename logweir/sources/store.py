@@ -30,19 +30,20 @@ def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
         raise
 
 
-def append_logs(records: DataFrame, path: str, now: Column | None = None) -> None:
+def append_logs(
+    records: DataFrame, path: str, now: Column | None = None, late: dict[str, Column] | None = None
+) -> None:
     """Append records that the table does not hold yet.
 
+    Columns ``late`` are computed from those of ``records`` for the new records only,
+    after the last shuffle.
+
     Known ``log_id`` values are looked up only in the date partitions that the
     batch touches; a missing timestamp becomes ``now``.
     """
     spark = records.sparkSession
     stamp = F.coalesce("timestamp", now if now is not None else F.current_timestamp())
-    rows = (
-        to_log_schema(records)
-        .withColumn("timestamp", stamp)
-        .withColumn("log_date", F.to_date("timestamp"))
-    )
+    rows = records.withColumn("timestamp", stamp).withColumn("log_date", F.to_date("timestamp"))
     files = F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files")
     dates = settle(rows.groupBy("log_date").agg(files))
     known = read_logs(spark, path)
@@ -57,7 +58,8 @@ def append_logs(records: DataFrame, path: str, now: Column | None = None) -> Non
         )
         keys = ["log_date", "log_id"]
         rows = rows.join(ids.select(*keys), keys, "left_anti")
-    _by_date(rows, dates).write.mode("append").partitionBy("log_date").parquet(path)
+    dated = to_log_schema(_by_date(rows, dates).withColumns(late or {}), "log_date")
+    dated.write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def _by_date(rows: DataFrame, dates: DataFrame) -> DataFrame:

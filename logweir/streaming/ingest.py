@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from logweir.functions.vectors import embed
 from logweir.operators.anomaly import Detector
-from logweir.operators.parse import parse_logs, to_log_schema
+from logweir.operators.parse import parse_logs
 from logweir.operators.reports import anomalies, bucket_means
 from logweir.operators.templates import STATE, attach_templates, grow_templates, latest_state, named
 from logweir.operators.word_index import append_index
@@ -32,13 +32,19 @@ def score_records(
 
     ``records`` are parsed logs with ``format`` telling the failed ones.
     """
+    return _scored(records, detector).withColumn("log_vector", _vector(model))
+
+
+def _vector(model: Callable[[Column], Column] | None) -> Column:
+    zero = F.array_repeat(F.lit(0.0), VECTOR_DIM).cast("array<float>")
+    return F.when(F.col("format") == "error", zero).otherwise(embed(F.col("message"), model))
+
+
+def _scored(records: DataFrame, detector: Detector | None) -> DataFrame:
     detector = detector or Detector(None, None)
     failed = F.col("format") == "error"
-    zero = F.array_repeat(F.lit(0.0), VECTOR_DIM).cast("array<float>")
-    scored = detector.score(records)
-    return scored.withColumns(
+    return detector.score(records).withColumns(
         {
-            "log_vector": F.when(failed, zero).otherwise(embed(F.col("message"), model)),
             "anomaly_score": F.when(failed, 0.0).otherwise(F.col("anomaly_score")),
             "anomaly_label": F.when(failed, 0).otherwise(F.col("anomaly_label")),
         }
@@ -87,13 +93,13 @@ def ingest_batch(
     ``index`` is the folder of a word index that takes the new logs too.
 
     Times that cannot be read become the time of the file, so they are equal
-    on every run.
+    on every run. Vectors are most of a log's bytes: they are made when new logs
+    are written, not for known ones, and are in no table between.
     """
     parsed = parse_logs(with_log_ids(lines), F.col("file_time"))
-    records = settle(score_records(parsed, detector, model))
-    named = with_templates(records, templates, F.current_timestamp())
-    rows = settle(to_log_schema(named))
-    append_logs(rows, table)
+    records = settle(_scored(parsed, detector))
+    rows = settle(with_templates(records, templates, F.current_timestamp()))
+    append_logs(rows, table, late={"log_vector": _vector(model)})
     if index is not None:
         append_index(rows, index)
     alert = anomalies(rows, threshold).select(
