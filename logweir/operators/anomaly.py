@@ -114,10 +114,11 @@ def fit_detector(
         return Detector(None, None)
     words = fit_tfidf(good, text)
     directions = max(1, min(components, int(share * len(terms_of(words)) + 1e-9)))
-    stages = words.stages + _fit_subspace(tfidf(words, good), "tfidf", directions)
-    detector = Detector(PipelineModel(stages), 0.0)
-    detector.threshold = contamination_cut(detector.score(good), contamination)
-    return detector
+    # Scaling, directions and the cut read the sparse vectors, not the texts again.
+    vectors = settle(tfidf(words, good).select("tfidf"))
+    subspace = _fit_subspace(vectors, "tfidf", directions)
+    scored = Detector(PipelineModel(subspace), 0.0).score(vectors)
+    return Detector(PipelineModel(words.stages + subspace), contamination_cut(scored, contamination))
 
 
 # -- isolation forest (Liu, Ting and Zhou 2008) ------------------------------
