@@ -183,7 +183,8 @@ def keyword_scores(
     values: DataFrame, docs: DataFrame, tokens: DataFrame, carried: list[str], small: bool
 ) -> DataFrame:
     """Scores of tokens that are whole values; ``docs`` counts the values of each field."""
-    hits = join_on_hot_keys(values, tokens, ["token"], "log_id", small_known=small)
+    # Weights and scores both read the few hits.
+    hits = settle(join_on_hot_keys(values, tokens, ["token"], "log_id", small_known=small))
     df = hits.groupBy("query_id", "token_no", "field").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(F.broadcast(docs), "field").select(
         "query_id", "token_no", "field", (_bm25_idf() / (1 + K1)).alias("score")

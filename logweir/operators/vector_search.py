@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logweir.session import top_k_per_group
 
@@ -31,20 +32,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _scan(batches: Iterator[pd.DataFrame], queries: dict, k: int) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch], queries: dict, k: int) -> Iterator[pa.RecordBatch]:
     matrix, lo, hi = queries["matrix"], queries["lo"], queries["hi"]
     found: list = [None] * len(queries["ids"])
+    kinds: pa.Schema | None = None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        vectors = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+        kinds = batch.schema
+        # All vectors have the length of a query; a missing number becomes NaN.
+        flat = batch["vector"].flatten().to_numpy(zero_copy_only=False)
+        vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         usable = norms > 0
         if not usable.any():
             continue
         scores = vectors[usable] @ matrix.T / norms[usable, None] + 1.0
         scores = np.round(scores, SCORE_DIGITS)
-        ids = batch["log_id"].to_numpy()[usable]
+        ids = batch["log_id"].to_pandas().to_numpy()[usable]
         times = batch["at"].to_numpy()[usable]
         for q in range(len(found)):
             inside = (times >= lo[q]) & (times <= hi[q])
@@ -54,7 +59,9 @@ def _scan(batches: Iterator[pd.DataFrame], queries: dict, k: int) -> Iterator[pd
             found[q] = _best(*mine, k)
     for query_id, best in zip(queries["ids"], found, strict=True):
         if best is not None and len(best[0]):
-            yield pd.DataFrame({"query_id": query_id, "log_id": best[1], "score": best[0]})
+            ids = pa.Array.from_pandas(best[1], type=kinds.field("log_id").type)
+            asked = pa.array([query_id] * len(ids), queries["id_type"])
+            yield pa.record_batch({"query_id": asked, "log_id": ids, "score": pa.array(best[0])})
 
 
 def vector_top_k(
@@ -109,7 +116,8 @@ def _block_hits(logs: DataFrame, rows: list, k: int, vector: str, out: T.StructT
     hi = np.array([highest if r.hi is None else r.hi for r in rows], dtype=np.int64)
     # A log without a time stands at ``lowest``: outside every range, inside where none is asked.
     lo = np.where((lo == lowest) & (hi < highest), lowest + 1, lo)
-    queries = {"ids": [r.query_id for r in rows], "matrix": matrix, "lo": lo, "hi": hi}
+    id_type = to_arrow_type(out["query_id"].dataType)
+    queries = {"ids": [r.query_id for r in rows], "id_type": id_type, "matrix": matrix, "lo": lo, "hi": hi}
 
     usable = logs.where(F.col(vector).isNotNull() & (F.size(vector) == matrix.shape[1]))
     if "timestamp" in logs.columns:
@@ -128,4 +136,4 @@ def _block_hits(logs: DataFrame, rows: list, k: int, vector: str, out: T.StructT
         at = F.lit(0).cast("long")
     at = F.coalesce(at, F.lit(lowest)).alias("at")
     narrow = usable.select("log_id", F.col(vector).alias("vector"), at)
-    return narrow.mapInPandas(lambda batches: _scan(batches, queries, k), out)
+    return narrow.mapInArrow(lambda batches: _scan(batches, queries, k), out)
