@@ -84,10 +84,11 @@ def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_orders(spark: SparkSession, sf_dir: str, *columns: str | F.Column) -> DataFrame:
-    """Columns of the parsed order lines, written out as a log table is: a line is parsed once."""
-    path = scratch(spark)
-    order_logs(spark, sf_dir).select(*columns).write.parquet(path)
-    return spark.read.parquet(path)
+    """Columns of the parsed order lines, written out so that a line is parsed once.
+
+    Rows stay in their partitions: where directions tie, those that a detector finds depend on it.
+    """
+    return settle(order_logs(spark, sf_dir).select(*columns))
 
 
 def searchable_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
