@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from logweir.functions.text import words
 from logweir.operators.lexical_search import (
     KEYWORD_FIELDS,
+    LISTED_WORDS,
     TEXT_FIELDS,
     carried_columns,
     keyword_scores,
@@ -26,13 +29,23 @@ from logweir.operators.lexical_search import (
     summed,
     text_scores,
 )
-from logweir.session import is_small, join_on_hot_keys, settle, shuffle_parts, top_k_per_group
+from logweir.session import (
+    broadcast_if_small,
+    is_small,
+    join_on_hot_keys,
+    scratch,
+    settle,
+    shuffle_parts,
+    top_k_per_group,
+)
 from logweir.sources.store import read_stored
 
 #: Folders a batch is cut into; fixed by the first batch of an index.
 BUCKETS = 64
 #: Positions in a file; a bucket with more takes several tasks and files.
 POSITIONS_PER_FILE = 4_000_000
+#: Values whose words are gathered at once.
+VALUES_AT_ONCE = 256
 
 _SIZES = (
     T.StructType()
@@ -50,30 +63,62 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
-def _values(logs: DataFrame) -> DataFrame:
-    """One row per log and field that has a value, with its words; whole values are one word."""
-    parts = [
-        F.struct(F.lit(name).alias("field"), words(F.col(name)).alias("words"))
-        for name in TEXT_FIELDS
-        if name in logs.columns
-    ] + [
-        F.struct(
-            F.lit(name).alias("field"),
-            F.when(F.col(name).isNotNull(), F.array(F.col(name))).alias("words"),
-        )
-        for name in KEYWORD_FIELDS
-        if name in logs.columns
-    ]
+def _gathered(values: pa.Array) -> pa.Array:
+    """For each list of words its different words with their positions, ascending."""
+    sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = values.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key = row * (len(coded.dictionary) + 1) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    words = coded.dictionary.take(pa.array(code[order[first]]))
+    ends = np.append(first, len(order)).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+    found = pa.StructArray.from_arrays([words, positions], ["word", "positions"])
+    per_row = np.bincount(row[order[first]], minlength=len(sizes))
+    ends = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), found)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("word", T.StringType()).add("positions", T.ArrayType(T.IntegerType()))))
+def _gather(values: pa.Array) -> pa.Array:
+    starts = range(0, max(len(values), 1), VALUES_AT_ONCE)
+    return pa.concat_arrays([_gathered(values.slice(at, VALUES_AT_ONCE)) for at in starts])
+
+
+def _values(logs: DataFrame, fields: list[str]) -> DataFrame:
+    """Each field that has a value as its different words with their positions; whole values are one word.
+
+    Words meet inside the row, so that a position is never a row of its own.
+    """
+
+    def entries(name: str) -> Column:
+        if name in TEXT_FIELDS:
+            found = _gather(words(F.col(name)))
+        else:
+            found = F.array(F.struct(F.col(name).alias("word"), F.array(F.lit(0)).alias("positions")))
+        return F.when(F.col(name).isNotNull(), found).alias(name)
+
+    return logs.select("log_id", "timestamp", "log_date", *[entries(name) for name in fields])
+
+
+def _by_field(values: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per log and field that has a value."""
+    parts = [F.struct(F.lit(name).alias("field"), F.col(name).alias("entries")) for name in fields]
+    length = F.aggregate("entries", F.lit(0), lambda n, e: n + F.size(e["positions"]))
     return (
-        logs.select("log_id", "timestamp", F.inline(F.array(*parts)))
-        .where(F.col("words").isNotNull())
-        .select(
-            "log_id",
-            "timestamp",
-            "field",
-            F.size("words").alias("length"),
-            F.posexplode_outer("words").alias("position", "word"),
-        )
+        values.select("log_id", "timestamp", F.inline(F.array(*parts)))
+        .where(F.col("entries").isNotNull())
+        .select("log_id", "timestamp", "field", length.alias("length"), "entries")
+    )
+
+
+def _words(by_field: DataFrame, buckets: int) -> DataFrame:
+    """One row per log, field and word."""
+    return by_field.select("log_id", "timestamp", "field", "length", F.inline("entries")).withColumn(
+        "bucket", _bucket(F.col("word"), buckets)
     )
 
 
@@ -124,7 +169,7 @@ def _unknown(dated: DataFrame, index: _Index) -> DataFrame:
         return dated
     ids = index.known().where(F.col("log_date").between(F.lit(lo), F.lit(hi)))
     keys = ["log_date", "log_id"]
-    return settle(dated.join(ids.select(*keys), keys, "left_anti"))
+    return dated.join(ids.select(*keys), keys, "left_anti")
 
 
 def _files(counts: DataFrame, positions_per_file: int) -> DataFrame:
@@ -170,31 +215,38 @@ def append_index(
         raise ValueError(f"logs have none of {(*TEXT_FIELDS, *KEYWORD_FIELDS)}")
     logs = logs.select("log_id", "timestamp", *fields)
     index = _Index(spark, path)
-    # Three tables are made from the logs, which may be costly to parse.
-    fresh = settle(_dated(logs))
+    fresh = _dated(logs)
     if index.names:
-        fresh = _unknown(fresh, index)
+        # Read for its dates and for its new logs; they may be costly to parse.
+        fresh = _unknown(settle(fresh), index)
     buckets = index.buckets or buckets
     batch = uuid.uuid4().hex
 
-    entries = _values(fresh).withColumn("bucket", _bucket(F.col("word"), buckets))
+    # Four tables are made from the words, which are taken from the logs once.
+    staged = scratch(spark)
+    _values(fresh, fields).write.parquet(staged)
+    values = spark.read.parquet(staged)
+    by_field = _by_field(values, fields)
     counts = settle(
-        entries.groupBy("field", "bucket").agg(
-            F.count("word").alias("positions"),
-            F.count_if(F.coalesce("position", F.lit(0)) == 0).alias("docs"),
-        )
-    )
-    keys = ["bucket", "_part", "field", "word", "log_id", "timestamp", "length"]
-    # Grouping by more than the shuffled keys needs no second shuffle.
-    grouped = (
-        _placed(entries.where(F.col("word").isNotNull()), _files(counts, positions_per_file))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        _words(by_field, buckets).groupBy("bucket").agg(F.sum(F.size("positions")).alias("positions"))
     )
-    _write_postings(grouped, index.path, batch)
-    _write_known(fresh, index.path, batch)
-    per_field = counts.groupBy("field").agg(
-        F.sum("docs").alias("docs"), F.sum("positions").alias("length")
+    files = _files(counts, positions_per_file)
+    # An id stands in one row, mostly; only the words of repeated ids meet those of other rows.
+    repeated = settle(values.groupBy(F.col("log_id").alias("_id")).count().where("count > 1").select("_id"))
+    if repeated.isEmpty():
+        postings = _words(by_field, buckets)
+    else:
+        repeated, same = broadcast_if_small(repeated), F.col("log_id").eqNullSafe(F.col("_id"))
+        once = _words(by_field.join(repeated, same, "left_anti"), buckets)
+        again = _words(by_field.join(repeated, same, "left_semi"), buckets)
+        merged = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+        keys = [c for c in again.columns if c != "positions"]
+        postings = once.unionByName(again.groupBy(*keys).agg(merged))
+    postings = _placed(postings, files)
+    _write_postings(postings, index.path, batch)
+    _write_known(values, index.path, batch)
+    per_field = by_field.groupBy("field").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("length").alias("length")
     )
     every = spark.createDataFrame([(name,) for name in fields], "field string")
     per_field = every.join(per_field, "field", "left").fillna(0, ["docs", "length"])
@@ -241,13 +293,17 @@ def compact_index(
 
 
 def asked_postings(index: _Index, asked: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Postings of the buckets that hold an asked word or token; other folders are not read."""
-    places = asked.select(_bucket(F.col("word"), index.buckets).alias("bucket")).union(
-        tokens.select(_bucket(F.col("token"), index.buckets))
-    )
+    """Postings of the buckets that hold an asked word or token; other folders are not read.
+
+    Up to ``LISTED_WORDS`` of them are pushed into the files, which are sorted by word.
+    """
+    wanted = asked.select("word").union(tokens.select("token"))
+    places = wanted.select(_bucket(F.col("word"), index.buckets).alias("bucket"))
     # No more rows than the index has buckets.
     found = [row.bucket for row in places.distinct().collect()]
-    return index.postings().where(F.col("bucket").isin(found))
+    postings = index.postings().where(F.col("bucket").isin(found))
+    listed = [row.word for row in wanted.distinct().limit(LISTED_WORDS + 1).collect()]
+    return postings.where(F.col("word").isin(listed)) if len(listed) <= LISTED_WORDS else postings
 
 
 def index_hits(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:

@@ -135,3 +135,38 @@ def test_ingest_fills_the_index(spark, tmp_path):
     want = _as_dict(lexical_hits(table, asked))
     assert len(want) == 10
     assert _as_dict(index_hits(spark, place["index"], asked)) == pytest.approx(want, abs=1e-8)
+
+
+def test_words_meet_inside_a_row(spark, tmp_path, monkeypatch):
+    """Only repeated ids have their words grouped over rows, whatever their texts are."""
+    taken = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(message):
+        taken.add(1)
+        return message
+
+    grouped = []
+    flatten = F.flatten
+    monkeypatch.setattr(word_index.F, "flatten", lambda c: grouped.append(c) or flatten(c))
+    rows = [(1, "a b a"), (2, ""), (3, None), (4, "b " * 3000 + "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "log_id long, message string").withColumn("message", counted("message"))
+    append_index(docs, str(tmp_path / "once"))
+    assert taken.value == len(rows) and not grouped
+    found = {(r.word, r.log_id): (r.length, r.positions) for r in spark.read.parquet(str(tmp_path / "once" / "postings")).collect()}
+    assert found == {
+        ("a", 1): (3, [0, 2]),
+        ("b", 1): (3, [1]),
+        ("a", 4): (3001, [3000]),
+        ("b", 4): (3001, [*range(3000)]),
+        ("a", None): (1, [0]),
+    }
+    (size,) = spark.read.parquet(str(tmp_path / "once" / "sizes")).collect()
+    assert (size.docs, size.length) == (4, 3005)
+
+    twice = spark.createDataFrame([*rows, (1, "c a a"), (1, "a"), (None, "b")], "log_id long, message string")
+    append_index(twice, str(tmp_path / "twice"))
+    assert grouped
+    found = {(r.word, r.log_id, r.length): r.positions for r in spark.read.parquet(str(tmp_path / "twice" / "postings")).collect()}
+    assert found[("a", 1, 3)] == [0, 1, 2, 2] and found[("c", 1, 3)] == [0] and found[("a", 1, 1)] == [0]
+    assert found[("a", None, 1)] == [0] and found[("b", None, 1)] == [0] and len(found) == 8
