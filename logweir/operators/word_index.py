@@ -215,14 +215,14 @@ def append_index(
         raise ValueError(f"logs have none of {(*TEXT_FIELDS, *KEYWORD_FIELDS)}")
     logs = logs.select("log_id", "timestamp", *fields)
     index = _Index(spark, path)
-    fresh = _dated(logs)
+    # Each field is named several times below; logs may be costly to parse.
+    fresh = settle(_dated(logs))
     if index.names:
-        # Read for its dates and for its new logs; they may be costly to parse.
-        fresh = _unknown(settle(fresh), index)
+        fresh = _unknown(fresh, index)
     buckets = index.buckets or buckets
     batch = uuid.uuid4().hex
 
-    # Four tables are made from the words, which are taken from the logs once.
+    # Four tables are made from the words, which are taken from the texts once.
     staged = scratch(spark)
     _values(fresh, fields).write.parquet(staged)
     values = spark.read.parquet(staged)
