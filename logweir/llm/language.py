@@ -31,8 +31,8 @@ DIMENSIONS = 1024
 ORDER = 3
 UNKNOWN = "und"
 #: n-grams whose vectors are in memory at once, and letters of text counted at once.
-GRAMS = 4096
-LETTERS = 500_000
+GRAMS = 512
+LETTERS = 250_000
 
 
 def letter_vectors(codes: np.ndarray, seed: int = 1) -> np.ndarray:

@@ -37,7 +37,7 @@ MARK = "▁"
 #: Characters below this are looked up in a table of pairs; above, stretches are not cut.
 PAIRS = 0x250
 #: Text bytes whose lattices are built together, and stretches drawn together.
-BATCH_BYTES = 500_000
+BATCH_BYTES = 250_000
 DRAWN = 60_000
 
 

@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -32,6 +34,18 @@ def test_bundles_equal_the_sum_of_bound_n_grams(monkeypatch):
             assert np.array_equal(vector, brute_bundle(text))
 
 
+def test_many_n_grams_take_little_memory():
+    random.seed(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéè"
+    texts = ["".join(random.choices(letters + "    ", k=3300)) for _ in range(256)]
+    bundles(texts[:1])
+    tracemalloc.start()
+    bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_odd_documents(odd, empty):
     profiles = learn(odd)
     assert profiles.names == ["de", "en"]

@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,19 @@ def test_cuts_depend_on_key_and_seed_only(spark, pieces, monkeypatch):
     assert once == again and once != other
 
 
+def test_a_run_of_texts_takes_little_memory(matcher):
+    random.seed(5)
+    words = ["".join(random.choices("aeiounrstlmdk", k=random.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(random.choices(words, k=500)) for _ in range(400)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    run = next(module._slices(batch, module.BATCH_BYTES))["text"].to_pylist()
+    tracemalloc.start()
+    _segment(run, np.arange(len(run), dtype=np.uint64), matcher)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+
+
 def test_odd_documents(odd, empty, pieces):
     out = encode(odd, pieces)
     assert out.columns == [*odd.columns, "ids", "n_pieces", "lossless"]

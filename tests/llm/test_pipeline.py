@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from logweir.llm.simhash import near_duplicates
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -52,6 +55,18 @@ def test_run(spark, sf):
     assert rows and all(r.lossless for r in rows)
 
 
+def test_stages_run_alone_have_small_batches(spark, empty):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    large = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    sizes = lambda batches: (pa.record_batch({"size": [b.nbytes]}) for b in batches)
+    docs = empty.select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        stage(spark, docs, "")
+        assert max(r.size for r in large.mapInArrow(sizes, "size long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
+    spark.conf.unset(name)
+
+
 def test_odd_documents(spark, odd, empty):
     for docs in (odd.select(*corpus_pipeline.COLUMNS), empty.select(*corpus_pipeline.COLUMNS)):
         for _, stage in corpus_pipeline.STAGES:
