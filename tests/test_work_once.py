@@ -74,3 +74,40 @@ def test_ratio_stops_early_with_the_same_links():
         b = "".join(b)
         ratio = SequenceMatcher(None, a, b).ratio()
         assert similar._ratio_from(a, b, 0.85) == (ratio if ratio >= 0.85 else 0.0)
+
+
+def test_unlike_texts_of_one_language_are_told_by_their_grams(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", range(26, 0, -1), k=rng.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(280, 320))) for _ in range(20)]
+    copies = [t[:900] + rng.choice(["", " added by hand", t[:20]]) + t[rng.choice([905, 950]) :] for t in texts]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(texts, copies, strict=True)]
+    assert [similar._ratio_from(a, b, 0.85) for a, b in zip(texts, copies, strict=True)] == [r if r >= 0.85 else 0.0 for r in want]
+    assert sum(r >= 0.85 for r in want) > 5
+    unlike = [(a, b) for n, a in enumerate(texts) for b in texts[:n]]
+    assert max(SequenceMatcher(None, a, b).ratio() for a, b in unlike[:20]) < 0.85
+
+    def made(*_):
+        raise AssertionError("texts are matched block by block")
+
+    monkeypatch.setattr(similar, "SequenceMatcher", made)
+    assert {similar._ratio_from(a, b, 0.85) for a, b in unlike} == {0.0}
+
+
+def test_matches_from_arrays_are_those_of_the_library(monkeypatch):
+    rng = random.Random(8)
+    for n in range(300):
+        letters = rng.choice(["ab", "abcdefghij klmnop", "eeeeeeee" * 30 + "xyz 0123456789"])
+        a = "".join(rng.choices(letters, k=rng.choice([1, 30, 199, 200, 450])))
+        b = list(a[rng.randint(0, len(a)) :] + a[: rng.randint(0, len(a))]) or ["x"]
+        for at in rng.choices(range(len(b)), k=n % 12):
+            b[at] = rng.choice(letters)
+        b = "".join(b)
+        found = similar._matcher(a, b, similar._codes(a), similar._codes(b))
+        assert isinstance(found, similar._Matches)
+        library = SequenceMatcher(None, a, b)
+        for _ in range(12):
+            part = [*sorted(rng.choices(range(len(a) + 1), k=2)), *sorted(rng.choices(range(len(b) + 1), k=2))]
+            assert found.find_longest_match(*part) == library.find_longest_match(*part), (a, b, part)
+    monkeypatch.setattr(similar, "PLACES", 10)
+    assert isinstance(similar._matcher(a, b, similar._codes(a), similar._codes(b)), SequenceMatcher)
