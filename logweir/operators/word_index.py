@@ -31,12 +31,13 @@ from logweir.operators.lexical_search import (
 )
 from logweir.session import (
     broadcast_if_small,
+    forget,
     is_small,
     join_on_hot_keys,
-    scratch,
     settle,
     shuffle_parts,
     top_k_per_group,
+    written,
 )
 from logweir.sources.store import read_stored
 
@@ -223,9 +224,7 @@ def append_index(
     batch = uuid.uuid4().hex
 
     # Four tables are made from the words, which are taken from the texts once.
-    staged = scratch(spark)
-    _values(fresh, fields).write.parquet(staged)
-    values = spark.read.parquet(staged)
+    values = written(_values(fresh, fields))
     by_field = _by_field(values, fields)
     counts = settle(
         _words(by_field, buckets).groupBy("bucket").agg(F.sum(F.size("positions")).alias("positions"))
@@ -251,6 +250,7 @@ def append_index(
     every = spark.createDataFrame([(name,) for name in fields], "field string")
     per_field = every.join(per_field, "field", "left").fillna(0, ["docs", "length"])
     _commit(per_field, index.path, batch, buckets, logs.schema["log_id"].dataType.simpleString())
+    forget(values)
 
 
 def _write_known(dated: DataFrame, path: str, batch: str) -> None:

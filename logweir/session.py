@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 100_000
 
 
+class _Made(threading.local):
+    """The tables that ``settle`` made inside ``settled_removed``."""
+
+    tables: list[DataFrame] | None = None
+
+
+_made = _Made()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Wall-clock timestamps are read as UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -45,7 +57,63 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    settled = df.checkpoint(eager=True)
+    if _made.tables is not None:
+        _made.tables.append(settled)
+    return settled
+
+
+@contextmanager
+def settled_removed() -> Iterator[None]:
+    """Tables that ``settle`` makes inside are deleted at the end, when nothing reads them any more.
+
+    It holds for the thread, as batches of several streams may run at once.
+    """
+    outer, _made.tables = _made.tables, []
+    try:
+        yield
+    finally:
+        tables, _made.tables = _made.tables, outer
+        for df in tables:
+            _delete(df.sparkSession, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, lineage cut."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made, once their last reader has run."""
+    for df in tables:
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, an action deletes its shuffle files when it ends, not when the driver next collects garbage.
+
+    For operators of many actions, whose tables are written between them.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:

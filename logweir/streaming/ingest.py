@@ -16,7 +16,7 @@ from logweir.operators.reports import anomalies, bucket_means
 from logweir.operators.templates import STATE, attach_templates, grow_templates, latest_state, named
 from logweir.operators.word_index import append_index
 from logweir.schema import ANOMALY_THRESHOLD, VECTOR_DIM
-from logweir.session import settle
+from logweir.session import forget, settle, settled_removed, shuffles_removed, written
 from logweir.sources.files import stream_log_dir, with_log_ids
 from logweir.sources.store import append_keyed, append_logs, read_stored
 
@@ -94,19 +94,25 @@ def ingest_batch(
 
     Times that cannot be read become the time of the file, so they are equal
     on every run. Vectors are most of a log's bytes: they are made when new logs
-    are written, not for known ones, and are in no table between.
+    are written, not for known ones, and are in no table between. What a batch
+    stores for itself is compressed and goes once its last reader has run.
     """
-    parsed = parse_logs(with_log_ids(lines), F.col("file_time"))
-    records = settle(_scored(parsed, detector))
-    rows = settle(with_templates(records, templates, F.current_timestamp()))
-    append_logs(rows, table, late={"log_vector": _vector(model)})
-    if index is not None:
-        append_index(rows, index)
-    alert = anomalies(rows, threshold).select(
-        "log_id", "timestamp", "level", "source", "message", "anomaly_score"
-    )
-    # By log, not by batch number, which starts anew with every checkpoint.
-    append_keyed(alert, alerts, "log_id")
+    with shuffles_removed(lines.sparkSession):
+        parsed = parse_logs(with_log_ids(lines), F.col("file_time"))
+        records = written(_scored(parsed, detector))
+        with settled_removed():
+            rows = written(with_templates(records, templates, F.current_timestamp()))
+        forget(records)
+        with settled_removed():
+            append_logs(rows, table, late={"log_vector": _vector(model)})
+            if index is not None:
+                append_index(rows, index)
+        alert = anomalies(rows, threshold).select(
+            "log_id", "timestamp", "level", "source", "message", "anomaly_score"
+        )
+        # By log, not by batch number, which starts anew with every checkpoint.
+        append_keyed(alert, alerts, "log_id")
+        forget(rows)
 
 
 def start_ingest(

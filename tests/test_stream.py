@@ -1,12 +1,14 @@
 """Streams give what a batch over the same files gives."""
 
 import datetime as dt
+import pathlib
 import shutil
 
 from pyspark.sql import functions as F
 
 from logweir.operators.anomaly import fit_detector
 from logweir.operators.reports import bucket_means
+from logweir.session import settle, shared_folder
 from logweir.sources.files import good_logs
 from logweir.streaming.ingest import start_ingest, stream_bucket_means
 
@@ -94,3 +96,27 @@ def test_bucket_means_stream_equals_batch_on_closed_buckets(spark, tmp_path):
     missing = want.exceptAll(got.select(*want.columns))
     extra = got.select(*want.columns).exceptAll(bucket_means(stored, "score"))
     assert missing.count() == 0 and extra.count() == 0
+
+
+def test_a_batch_leaves_only_its_tables(spark, tmp_path):
+    logs = tmp_path / "logs"
+    _write(logs / "a.log", range(40))
+    place = {n: str(tmp_path / n) for n in ("table", "templates", "alerts", "index", "checkpoint")}
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    settled = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+
+    def stored():
+        files = manager.getAllFiles()
+        shuffles = {files.apply(i).getName() for i in range(files.size())}
+        shuffles = {n for n in shuffles if n.startswith("shuffle_") and n.endswith(".data")}
+        return shuffles | {str(p) for folder in (settled, shared) for p in folder.rglob("*") if p.is_file()}
+
+    for run in range(2):
+        before = stored()
+        place["checkpoint"] = str(tmp_path / f"run{run}")
+        start_ingest(spark, str(logs), every=None, **place).awaitTermination()
+        assert stored() - before == set()
+    assert spark.read.parquet(place["table"]).count() == 40
+    kept = settle(spark.range(3))
+    assert kept.count() == 3
